@@ -84,11 +84,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = written(state.groups().filter("n > 1"), "dedup-hits")
     n_hits = hits.count()
 
-    # Full bytes on hits: equal digests with different contents show as two groups of the same digest.
-    full = located(docs, {"id": F.col(id_col), "content": normalised(F.col(text_col)), "sha": sha})
-    full = full.withColumn("digest", F.substring("sha", 1, key_bytes))
-    suspects = full.join(small_side(hits.select("digest"), n_hits), "digest", "left_semi")
-    contents = suspects.groupBy("digest", "content").agg(F.count(F.lit(1)).alias("n"))
+    # Full bytes on hits: equal digests with different contents show as two groups of the same digest. The rows whose
+    # bytes are read again are found by their content locator.
+    hit_rows = written(state.events().join(small_side(hits.select("digest"), n_hits), "digest", "left_semi").select(
+        F.xxhash64("_file", "_row").alias("place")), "dedup-hit-rows")
+    full = located(docs, {"id": F.col(id_col), "text": F.col(text_col)}).withColumn("place", F.xxhash64("_file", "_row"))
+    full = full.join(small_side(hit_rows, hit_rows.count()), "place", "left_semi")
+    full = full.select("id", "_file", "_row", normalised(F.col("text")).alias("content"))
+    full = full.withColumn("sha", F.unhex(F.sha2("content", 256))).withColumn("digest", F.substring("sha", 1, key_bytes))
+    contents = full.groupBy("digest", "content").agg(F.count(F.lit(1)).alias("n"))
     collided = contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("digest")
     collided = written(collided, "dedup-collided")
     n_collided = collided.count()

@@ -31,9 +31,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def words(text: Column) -> Column:
     """How many runs of other than space, tab, LF, VT, FF and CR; null has none."""
-    # A word starts wherever one of the six is followed by another character: count them in the text after a space.
-    flat = F.concat(F.lit(" "), F.translate(text, "\t\n\x0b\x0c\r", "     "))
-    return F.coalesce(F.size(F.array_remove(F.split(F.trim(flat), " +"), "")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
