@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asclepia.llm import exact_dedup, mixing, warc
+from asclepia.llm import bpe_codec, exact_dedup, mixing, token_counts, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,19 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op5_warc": op5_warc}
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored_tokens(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.encoded_documents(table(spark, sf_dir, "documents"), columns=("ids_sha256", "decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op4_token_store, op5_warc, op6_token_counts, op10_bpe_codec)}
 
 ORACLES = {
     "op1_exact_dedup": """
