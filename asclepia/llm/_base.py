@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -82,7 +84,23 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_KEYS else df
 
 
+def shipped(spark: SparkSession) -> None:
+    """Gives the executors this package, once per context, so that jobs need no installation or PYTHONPATH there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_asclepia_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="asclepia-ship-")) / "asclepia_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f"asclepia/{f.relative_to(root)}")
+    sc.addPyFile(str(archive))
+    sc._asclepia_shipped = True
+
+
 def arrow(spark: SparkSession) -> None:
+    """Before any Python stage: small Arrow batches, and the package on the executors."""
+    shipped(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 

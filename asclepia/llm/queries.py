@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asclepia.llm import bpe_codec, exact_dedup, mixing, token_counts, token_store, warc
+from asclepia.llm import bpe_codec, exact_dedup, language_id, media_mpeg, mixing, quality, token_counts, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_tokens(table(spark, sf_dir, "documents"))
 
@@ -33,11 +37,22 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "log_weight", "gumbel_key", "kept")
+
+
+def op8_media_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_mpeg.stored_media(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encoded_documents(table(spark, sf_dir, "documents"), columns=("ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op4_token_store, op5_warc, op6_token_counts, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_mixing, op3_language_id, op4_token_store, op5_warc, op6_token_counts, op7_quality, op8_media_mpeg, op10_bpe_codec,
+)}
 
 ORACLES = {
     "op1_exact_dedup": """
