@@ -36,6 +36,7 @@ class DedupState:
         for key, value in {
             "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
             "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
             "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
             "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
