@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asclepia.llm import bpe_codec, exact_dedup, language_id, media_mpeg, mixing, quality, token_counts, token_store, warc
+from asclepia.llm import bpe_codec, exact_dedup, language_id, media_mpeg, mixing, near_dup, quality, token_counts, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,12 +46,23 @@ def op8_media_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_mpeg.stored_media(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encoded_documents(table(spark, sf_dir, "documents"), columns=("ids_sha256", "decoded_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_mixing, op3_language_id, op4_token_store, op5_warc, op6_token_counts, op7_quality, op8_media_mpeg, op10_bpe_codec,
+    op1_exact_dedup, op2_mixing, op3_language_id, op4_token_store, op5_warc, op6_token_counts, op7_quality, op8_media_mpeg,
+    op9_near_dup, op10_bpe_codec, pipeline,
 )}
 
 ORACLES = {
