@@ -283,3 +283,51 @@ def descendants(t, spark, sf_dir):
 def json_property(t, spark, sf_dir):
     parsed = t("events").withColumn("p", F.from_json("props", "k int"))
     return parsed.filter("p.k > 50").select("event_id", c("p.k").alias("k"))
+
+
+# The same through the text of the language.
+
+LIBRARY = """
+library Example version '1.0'
+using FHIR version '4.0.1'
+codesystem "Brands": 'Brand#2'
+valueset "Large": 'large'
+code "Urgent": '1-URGENT' from "Brands" display 'Urgent'
+parameter "Least" Decimal default 1000.0
+context Unfiltered
+define "HighValue": [Encounter] O without [Observation] L such that L.l_orderkey = O.o_orderkey and L.l_returnflag = 'R' where O.o_totalprice > "Least" return Tuple { o_orderkey: O.o_orderkey, year: year from O.o_orderdate }
+define "Heavy": [Encounter] O with [Observation] L such that L.l_orderkey = O.o_orderkey and L.l_quantity > 45.0 return O.o_orderkey
+define "Urgent orders": [Encounter: "Urgent"] O let age: difference in days between @1995-01-01 and O.o_orderdate where age between 100 and 400 return Tuple { o_orderkey: O.o_orderkey, age: age } sort by age desc, o_orderkey
+define "Sizes": [Medication] M return distinct Tuple { p_type: M.p_type, large: M.p_size > 25 }
+define "Flags": [Event] E return Tuple { event_id: E.event_id, flag: case when E.value > 50.0 then 'high' when E.value > 20.0 then 'mid' else 'low' end, hour: hour from E.ts }
+define "In range": [Observation] L where L.l_shipdate in Interval[@1996-01-01T00:00:00.000, @1997-01-01T00:00:00.000) and L.l_quantity >= 40.0 return Tuple { l_orderkey: L.l_orderkey, l_linenumber: L.l_linenumber }
+define "Total": [Event] E aggregate A starting 0: A + E.event_id
+define "Pairs": from [nation] N, [region] R where N.n_regionkey = R.r_regionkey and R.r_name in { 'ASIA', 'EUROPE' } return Tuple { n: N.n_name, r: R.r_name }
+context Patient
+define "Orders": Count([Encounter])
+define "Any urgent": exists ([Encounter] O where O.o_orderpriority = '1-URGENT')
+"""
+
+
+def _text(name: str, definition: str, text: str, rename: dict[str, str] | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from asclepia.plans.engine import Engine
+
+        df = Engine(spark, test_tables(spark, sf_dir)).compile(LIBRARY).evaluate(definition)
+        for a, b in (rename or {}).items():
+            df = df.withColumnRenamed(a, b)
+        return df
+
+    QUERIES[name], ORACLES[name] = run, text
+
+
+_text("cql_high_value_orders", "HighValue", "SELECT o_orderkey, year(o_orderdate)::INT AS year FROM orders WHERE o_totalprice > 1000 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+_text("cql_with", "Heavy", "SELECT o_orderkey AS k FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)", {"value": "k"})
+_text("cql_let_code_sort", "Urgent orders", "SELECT o_orderkey, date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::INT AS age FROM orders WHERE o_orderpriority = '1-URGENT' AND date_diff('day', DATE '1995-01-01', o_orderdate::DATE) BETWEEN 100 AND 400")
+_text("cql_return_distinct", "Sizes", "SELECT DISTINCT p_type, p_size > 25 AS large FROM part")
+_text("cql_case", "Flags", "SELECT event_id, CASE WHEN value > 50 THEN 'high' WHEN value > 20 THEN 'mid' ELSE 'low' END AS flag, hour(ts)::INT AS hour FROM events")
+_text("cql_interval_membership", "In range", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_quantity >= 40")
+_text("cql_aggregate_clause", "Total", "SELECT sum(event_id)::BIGINT AS total FROM events", {"value": "total"})
+_text("cql_multi_source", "Pairs", "SELECT n_name AS n, r_name AS r FROM nation, region WHERE n_regionkey = r_regionkey AND r_name IN ('ASIA', 'EUROPE')")
+_text("cql_patient_count", "Orders", "SELECT c_custkey, count(o_orderkey)::INT AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey", {"_context": "c_custkey", "Orders": "orders"})
+_text("cql_patient_exists", "Any urgent", "SELECT c_custkey, coalesce(bool_or(o_orderpriority = '1-URGENT'), false) AS urgent FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey", {"_context": "c_custkey", "Any urgent": "urgent"})

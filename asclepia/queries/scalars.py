@@ -243,7 +243,7 @@ def register() -> None:
         "variance": (lambda: D(L.variance(ints())), d(f"list_var_samp({arr})")), "population_variance": (lambda: D(L.population_variance(ints())), d(f"list_var_pop({arr})")), "std_dev": (lambda: D(L.std_dev(ints())), d(f"list_stddev_samp({arr})")), "population_std_dev": (lambda: D(L.population_std_dev(ints())), d(f"list_stddev_pop({arr})")),
         "all_true": (lambda: L.all_true(F.transform(ints(), lambda v: v < 2)), f"coalesce(list_bool_and(list_transform({arr}, lambda v: v < 2)), true)"), "any_true": (lambda: L.any_true(F.transform(ints(), lambda v: v > 1)), f"coalesce(list_bool_or(list_transform({arr}, lambda v: v > 1)), false)"),
         "aggregate": (lambda: L.aggregate(ints(), lit(1), lambda t, v: t * 2 + v), f"list_reduce(list_prepend(1, {arr}), lambda t, v: t * 2 + v)::INT"), "geometric_mean": (lambda: D(L.geometric_mean(F.transform(ints(), lambda v: F.abs(v) + 1))), d(f"exp(list_avg(list_transform({arr}, lambda v: ln(abs(v) + 1))))")),
-        "repeat": (lambda: F.size(L.repeat(F.array(c("label")), lambda v: F.array((v + 3) % 7), 7)), "7"),
+        "repeat": (lambda: F.size(L.repeat(F.array(c("label")), lambda v: F.array((v + 3) % 7), 7)), "CASE WHEN label < 7 THEN 7 ELSE 8 END"),
     }
     for k, (f, sql) in lst.items():
         add(f"list_{k}", "embeddings", {"r": (f, sql)})
