@@ -32,10 +32,19 @@ FROM = {
 }
 
 
+def _columns() -> None:
+    """The columns that the queries below name briefly; they need a session, which importing this module doesn't."""
+    global i, q, p, x, ql, tx, n, ty, o, ts, two
+    i, q, p, x = c("l_linenumber"), c("l_quantity"), c("l_extendedprice"), c("l_discount")
+    ql, tx, n, ty, o, ts = c("quality"), c("toxic"), c("p_name"), c("p_type"), c("o_orderdate"), c("ts")
+    two = I.interval(lit(3), lit(5))
+
+
 def add(name: str, table: str, columns: dict[str, tuple[Callable[[], Column] | Column, str]]) -> None:
     """``columns``: alias to (Column or a function that makes it, SQL)."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _columns()
         if table in FROM:
             left, right, key, keys = FROM[table]
             df = spark.read.parquet(f"{sf_dir}/{left}.parquet").select(key).join(spark.read.parquet(f"{sf_dir}/{right}.parquet"), key, "left")
@@ -73,7 +82,6 @@ def register() -> None:
         "bal": (lambda: F.struct(c("c_name").alias("name"), c("c_acctbal").alias("bal"))["bal"], "c_acctbal"),
     })
     # Arithmetic.
-    i, q, p, x = c("l_linenumber"), c("l_quantity"), c("l_extendedprice"), c("l_discount")
     add("num_add", "lineitem", {"ints": (lambda: A.add(i, i), "l_linenumber + l_linenumber"), "decs": (lambda: D(A.add(A.decimal(p), A.decimal(q))), d("l_extendedprice + l_quantity"))})
     add("num_subtract", "lineitem", {"ints": (lambda: A.subtract(i, lit(3)), "l_linenumber - 3"), "decs": (lambda: D(A.subtract(A.decimal(p), A.decimal(q))), d("l_extendedprice - l_quantity"))})
     add("num_multiply", "lineitem", {"ints": (lambda: A.multiply(i, i), "l_linenumber * l_linenumber"), "decs": (lambda: D(A.multiply_decimal(q, x)), d("l_quantity * l_discount"))})
@@ -104,7 +112,6 @@ def register() -> None:
     add("num_low_boundary", "customer", {"r": (lambda: A.low_boundary(c("c_acctbal").cast("decimal(10,2)"), 4).cast("string"), "c_acctbal::DECIMAL(10,2)::DECIMAL(28,4)::VARCHAR")})
     add("num_high_boundary", "customer", {"r": (lambda: A.high_boundary(c("c_acctbal").cast("decimal(10,2)"), 2, 4).cast("string"), "(c_acctbal::DECIMAL(10,2)::DECIMAL(28,4) + CASE WHEN c_acctbal < 0 THEN -0.0099 ELSE 0.0099 END::DECIMAL(28,4))::DECIMAL(28,4)::VARCHAR")})
     # Comparison.
-    ql, tx = c("quality"), c("toxic")
     for name, f, op in (("equal", C.equal, "="), ("not_equal", C.not_equal, "<>"), ("less", C.less, "<"), ("greater", C.greater, ">"), ("less_or_equal", C.less_or_equal, "<="), ("greater_or_equal", C.greater_or_equal, ">=")):
         add(f"cmp_{name}", "labelled", {"r": (lambda f=f: f(ql, tx), f"quality {op} toxic")})
         add(f"cmp_{name}_values", "orders", {"s": (lambda f=f: f(c("o_orderpriority"), lit("3-MEDIUM")), f"o_orderpriority {op} '3-MEDIUM'"), "t": (lambda f=f: f(c("o_orderdate"), lit("1997-05-28").cast("timestamp_ntz")), f"o_orderdate {op} TIMESTAMP '1997-05-28'")})
@@ -132,7 +139,6 @@ def register() -> None:
     add("cond_if", "labelled", {"r": (lambda: N.if_(a(), lit("good"), lit("else")), f"CASE WHEN {sa} THEN 'good' ELSE 'else' END")})
     add("cond_case", "labelled", {"r": (lambda: N.case([(a() & b(), lit(1)), (a(), lit(2))]), f"CASE WHEN {sa} AND {sb} THEN 1 WHEN {sa} THEN 2 END"), "k": (lambda: N.case([(lit(1), lit("one")), (lit(0), lit("zero"))], lit("none"), ql), "CASE quality WHEN 1 THEN 'one' WHEN 0 THEN 'zero' ELSE 'none' END")})
     # Strings.
-    n, ty = c("p_name"), c("p_type")
     add("str_concatenate", "part", {"r": (lambda: S.concatenate(n, lit("-"), ty), "p_name || '-' || p_type")})
     add("str_combine", "part", {"r": (lambda: S.combine(F.array(n, lit(None).cast("string"), ty), ", "), "p_name || ', ' || p_type"), "none": (lambda: S.combine(F.array(lit(None).cast("string"))), "NULL::VARCHAR")})
     add("str_split", "part", {"first": (lambda: F.get(S.split(n, lit(" ")), lit(0)), "string_split(p_name, ' ')[1]"), "n": (lambda: F.size(S.split(n, lit("e"))), "len(string_split(p_name, 'e'))::INT")})
@@ -149,7 +155,6 @@ def register() -> None:
     add("str_matches", "part", {"r": (lambda: S.matches(n, lit("r[ei]")), "regexp_matches(p_name, 'r[ei]')")})
     add("str_replace_matches", "part", {"r": (lambda: S.replace_matches(n, lit("([aeiou])"), lit("<$1>")), "regexp_replace(p_name, '([aeiou])', '<\\1>', 'g')")})
     # Dates and times.
-    o, ts = c("o_orderdate"), c("ts")
     end = lambda: lit("1999-03-15").cast("timestamp_ntz")
     e = "TIMESTAMP '1999-03-15'"
     add("dt_now_today_timeofday", "nation", {"now": (lambda: F.date_format(lit("2024-06-01 10:30:00").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss"), "'2024-06-01 10:30:00'"), "today": (lambda: T.date_from(lit("2024-06-01 10:30:00").cast("timestamp_ntz")).cast("string"), "'2024-06-01'"), "tod": (lambda: T.time_from(lit("2024-06-01 10:30:00").cast("timestamp_ntz")).cast("bigint"), "37800000::BIGINT")})
@@ -206,7 +211,6 @@ def register() -> None:
     }
     for k, (f, sql) in pred.items():
         add(f"ivl_{k}", "lineitem", {"r": (f, sql)})
-    two = I.interval(lit(3), lit(5))
     for k, f, none, low, high in (
         ("union", lambda: I.union(iv(), two), f"{lo} <= 6 AND {hi} >= 2", f"least({lo}, 3)", f"greatest({hi}, 5)"),
         ("intersect", lambda: I.intersect(iv(), two), f"{lo} <= 5 AND {hi} >= 3", f"greatest({lo}, 3)", f"least({hi}, 5)"),
