@@ -67,7 +67,7 @@ def _let(value: Column, body) -> Column:
 
 def _pair(acc: Column, x: Column) -> Column:
     """One step of a block's fold: ``acc`` is (done, carry); the carried document and ``x`` are rounded against each other."""
-    fields = ("id", "_file", "_row", "source", "size", "source_size", "target", "whole", "u")
+    fields = ("id", "_file", "_row", "key", "source", "size", "source_size", "target", "whole", "u")
 
     def item(e: Column, p: Column) -> Column:
         return F.struct(*[e[f].alias(f) for f in fields], p.alias("p"))
@@ -100,14 +100,14 @@ def _pair(acc: Column, x: Column) -> Column:
     return F.when(c.isNull(), started).otherwise(_let(with_side, step))
 
 
-ITEM = "struct<id:bigint,_file:string,_row:bigint,source:string,size:bigint,source_size:bigint,target:double,whole:bigint,u:double,p:double>"
+ITEM = "struct<id:bigint,_file:string,_row:bigint,key:bigint,source:string,size:bigint,source_size:bigint,target:double,whole:bigint,u:double,p:double>"
 
 
 def _level(items: DataFrame, level: int, seed: int) -> DataFrame:
     """One level of the tree: items (ITEM's fields and block) to one row per block, done and carry."""
-    u = F.pmod(F.xxhash64("id", "_file", "_row", F.lit(seed), F.lit(level)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    ordered = F.struct((-F.col("size")).alias("_o"), F.xxhash64("id", "_row", "_file", F.lit(seed + 1)).alias("_h"), *[
-        (u if f == "u" else F.col(f)).alias(f) for f in ("id", "_file", "_row", "source", "size", "source_size", "target", "whole", "u", "p")
+    u = F.pmod(F.xxhash64("key", F.lit(seed), F.lit(level)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    ordered = F.struct((-F.col("size")).alias("_o"), F.xxhash64("key", F.lit(seed + 1)).alias("_h"), *[
+        (u if f == "u" else F.col(f)).alias(f) for f in ("id", "_file", "_row", "key", "source", "size", "source_size", "target", "whole", "u", "p")
     ])
     blocks = items.groupBy("source", "block").agg(F.sort_array(F.collect_list(ordered)).alias("items"), F.first("blocks").alias("blocks"))
     start = F.expr(f"named_struct('done', cast(array() as array<{ITEM}>), 'carry', cast(null as {ITEM}))")
@@ -125,11 +125,13 @@ def mix(
     """One row per row of ``docs``: doc_id, size, source_size, target (its source's), taken (words), copies, _file, _row.
 
     copies is target / source_size rounded down or up, so no document exceeds ``most`` times its size. The randomness is a
-    hash of id, place and ``seed``: reruns agree. Null text has size 0 and is never taken; a null source is a source of its own,
+    hash of id, text and ``seed``: reruns agree, whatever the files (a null id is told apart by its row in the file). Null text has size 0 and is never taken; a null source is a source of its own,
     the last; an empty table gives no rows; repeated rows are decided each for itself; other columns are not looked at.
     """
     docs = at_rest(docs)
-    base = written(located(docs, {"id": F.col(id_col), "source": F.col(source_col), "size": words(F.col(text_col))}), "mix-sizes")
+    # What randomness comes from: id and text, so that the same documents in other files or order are decided alike.
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.col("_metadata.row_index"))).otherwise(F.xxhash64(F.col(id_col), F.col(text_col)))
+    base = written(located(docs, {"id": F.col(id_col), "source": F.col(source_col), "size": words(F.col(text_col)), "key": key}), "mix-sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     sizes = written(sizes, "mix-sources")
     goals = targets(sizes.select("source", "source_size"), weights, most)
@@ -144,7 +146,7 @@ def mix(
     open_ = rows.filter("p > 0").withColumn("blocks", _blocks(F.col("docs")))
 
     def dealt(df: DataFrame, level: int) -> DataFrame:
-        return df.withColumn("block", F.pmod(F.xxhash64("id", "_row", "_file", F.lit(seed), F.lit(level + 1000)), F.col("blocks")))
+        return df.withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed), F.lit(level + 1000)), F.col("blocks")))
 
     out, level, most_blocks = [fixed], 0, -(-most_docs // BLOCK)
     while True:

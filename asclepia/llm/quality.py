@@ -85,7 +85,7 @@ def weighed(docs: DataFrame, labels: DataFrame, seed: int = 11, id_col: str = "d
             noise = -np.log(-np.log(uniform / (1 << 53)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(weight + noise), *batch.columns[3:]], names=["id", "log_weight", "gumbel_key", "good", "_file", "_row"])
 
-    rows = rows.select("id", "text", F.xxhash64("id", "_row", F.lit(seed)).alias("noise"), "good", "_file", "_row")
+    rows = rows.select("id", "text", F.xxhash64("id", "text", F.lit(seed)).alias("noise"), "good", "_file", "_row")
     return written(rows.mapInArrow(weigh, "id long, log_weight double, gumbel_key double, good boolean, _file string, _row long"), "quality-weights")
 
 
@@ -158,7 +158,7 @@ def classified(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, log_weight, gumbel_key, kept, _file, _row.
 
     Null or empty text has no n-grams and weight 0; null ids are never labelled; without usable labels all documents are kept; an empty
-    table gives no rows; repeated rows draw noise each for itself; other columns are not looked at. Reruns agree.
+    table gives no rows; repeated rows draw the same noise; other columns are not looked at. Reruns agree.
     """
     scores = weighed(docs, labels, **options)
     cut = threshold(scores)
