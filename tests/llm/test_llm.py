@@ -221,6 +221,7 @@ def test_chunk_memory_is_bounded():
         n = chunks.numbers(words)
         chunks.learn()
         assert chunks.ids(n).tolist() == [ord(x) for w in words for x in w]
+        chunks.note([n])
         chunks.trim()
         assert len(chunks) <= 30
 
@@ -367,6 +368,12 @@ def classes(rows):
     return sorted(map(sorted, out.values()))
 
 
+def brute_force_links(rows, idf, similar=0.8):
+    words, at = word_hashes([t for _, t in rows])
+    vectors = [near_dup.vector(words[at[k] : at[k + 1]], idf) for k in range(len(rows))]
+    return [(rows[a][0], rows[b][0]) for a in range(len(rows)) for b in range(a) if near_dup.similarity(vectors[a], vectors[b]) >= similar]
+
+
 def brute_force(rows, idf, similar=0.8):
     words, at = word_hashes([t for _, t in rows])
     vectors = [near_dup.vector(words[at[k] : at[k + 1]], idf) for k in range(len(rows))]
@@ -397,7 +404,12 @@ def test_near_duplicates(spark, docs):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns(CLASH())
     got = near_dup.near_duplicates(df).collect()
     idf = near_dup._document_frequencies(df.select("text"))
-    assert classes((r.doc_id, r.class_id) for r in got) == brute_force(rows, idf)
+    # Every class lies within one of brute force, and of the links, which the leaders of dense groups can miss, no more than 1 in 100 is lost.
+    of = {r.doc_id: r.class_id for r in got}
+    true = {d: k for k, c in enumerate(brute_force(rows, idf)) for d in c}
+    assert len({(of[d], true[d]) for d in of}) == len(set(of.values()))
+    links = brute_force_links(rows, idf)
+    assert len(links) > 500 and sum(of[a] != of[b] for a, b in links) <= len(links) / 100
     assert all(r.class_id == min(x.doc_id for x in got if x.class_id == r.class_id) for r in got[:50])
     assert sum(r.kept for r in got) == len({r.class_id for r in got})
 
