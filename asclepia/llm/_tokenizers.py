@@ -2,7 +2,7 @@
 
 A whole text's ids are the chunks' ids in order whenever the cuts are where the library's own pre-tokenizer always cuts.
 Most chunks of a corpus repeat, so that looking up a chunk costs a dictionary access instead of an encoding. The
-dictionary is bounded: when full it falls back to its oldest third, which holds the frequent chunks.
+dictionary is bounded: when full it keeps the half that was used most.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ class Chunks(dict):
 
     def __init__(self, encode, most: int = MAX_CHUNKS) -> None:
         self.encode, self.most, self.new = encode, most, []
-        self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.starts, self.used = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def __missing__(self, chunk: str) -> int:
         number = self[chunk] = len(self)
@@ -63,13 +63,22 @@ class Chunks(dict):
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
         self.new = []
 
+    def note(self, numbers: list[np.ndarray]) -> None:
+        """Counts the uses of chunks, for trim."""
+        used = np.bincount(np.concatenate(numbers), minlength=len(self)) if numbers else np.zeros(len(self), np.int64)
+        used[: len(self.used)] += self.used
+        self.used = used
+
     def trim(self) -> None:
         if len(self) > self.most:
-            keep = self.most // 3
-            kept = list(self.items())[:keep]
+            most_used = np.sort(np.argpartition(-self.used, self.most // 2)[: self.most // 2])
+            chunks = list(self)
+            kept = [chunks[i] for i in most_used.tolist()]
+            sizes = self.sizes(most_used)
+            self.flat, self.starts = self.ids(most_used), np.concatenate([[0], np.cumsum(sizes)])
+            self.used = self.used[most_used] // 2
             self.clear()
-            self.update(kept)
-            self.flat, self.starts = self.flat[: self.starts[keep]].copy(), self.starts[: keep + 1].copy()
+            self.update(zip(kept, range(len(kept)), strict=True))
 
     def sizes(self, numbers: np.ndarray) -> np.ndarray:
         return self.starts[numbers + 1] - self.starts[numbers]
@@ -114,6 +123,7 @@ def encode_texts(path: str, texts: list[str | None]) -> list[np.ndarray]:
     numbers = [chunks.numbers(_unambiguous(space_chunks(t or ""))) for t in texts]
     chunks.learn()
     out = [chunks.ids(n) for n in numbers]
+    chunks.note(numbers)
     chunks.trim()
     return out
 

@@ -88,6 +88,7 @@ def prefix_tables(texts: list[str | None], path: str) -> list[np.ndarray]:
     numbers = [known.numbers(chunks_of(t or "")) for t in texts]
     known.learn()
     out = [np.cumsum(known.sizes(n)) for n in numbers]
+    known.note(numbers)
     known.trim()
     return out
 
