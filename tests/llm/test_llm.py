@@ -414,6 +414,46 @@ def test_near_duplicates(spark, docs):
     assert sum(r.kept for r in got) == len({r.class_id for r in got})
 
 
+def linked(spark, texts, buckets):
+    """Components, as sets of names, of texts by name in the given buckets."""
+    name = {k: k.encode() for k in texts}
+    frame = spark.createDataFrame([(name[k], t, len(t)) for k, t in texts.items()], "d binary, text string, chars long")
+    rows = spark.createDataFrame([(b, name[k]) for b, names in enumerate(buckets) for k in names], "band long, d binary")
+    idf = spark.sparkContext.broadcast(np.ones(near_dup.DF_BUCKETS, np.float32))
+    near_dup.arrow(spark)
+    got = {}
+    for r in near_dup._linked(near_dup.written(rows, "buckets"), near_dup.written(frame, "texts"), idf, 0.8).collect():
+        got.setdefault(bytes(r.c), set()).add(bytes(r.d).decode())
+    return {frozenset(x) for x in got.values()}
+
+
+def numbered(a, b):
+    return " ".join(f"n{i}" for i in range(a, b))
+
+
+def test_texts_of_different_leaders_meet(spark):
+    """u and v share a bucket, are similar and below 0.8 with its leader; v's most central leader is another, which u doesn't know."""
+    texts = {"u": numbered(0, 200), "v": numbered(0, 195), "L1": numbered(60, 300), "L2": numbered(-80, 140)} | {f"x{k}": numbered(1_000 * k, 1_000 * k + 50) for k in range(1, 9)}
+    others = [k for k in texts if k[0] == "x"]
+    got = linked(spark, texts, [["u", "v", "L1"], ["L1", *others[:3]], ["v", "L2"], ["L2", *others]])
+    assert frozenset(("u", "v")) in got and len(got) == len(texts) - 1
+
+
+def test_blocks_hold_every_pair(spark, monkeypatch):
+    """However a bucket is dealt, each two texts outside its largest component, and each of them and one inside, meet once to be compared."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 4)
+    name = lambda k: bytes([k])
+    led = near_dup.written(spark.createDataFrame([(7, name(k), name(0)) for k in range(40)], "band long, d binary, a binary"), "led")
+    comps = spark.createDataFrame([(name(k), name(1 if k < 20 else k)) for k in range(40)], "d binary, c binary")
+    texts = spark.createDataFrame([(name(k), 10) for k in range(40)], "d binary, chars long")
+    units = {}
+    for r in near_dup._blocks(led, comps, texts).collect():
+        units.setdefault((r.i, r.j), []).append(r)
+    met = [(bytes(u.d), bytes(v.d)) for x in units.values() for u in x for v in x if u.asks and v.member and u.c != v.c and (not v.apart or v.d > u.d)]
+    assert len(units) > 4 and len(met) == len(set(met))
+    assert {frozenset(m) for m in met} == {frozenset((name(a), name(b))) for a in range(20, 40) for b in range(1, 40) if a != b}
+
+
 def test_near_duplicates_edge(edge, empty):
     got = near_dup.near_duplicates(edge).collect()
     assert len(got) == len(ROWS)
