@@ -439,6 +439,13 @@ def test_texts_of_different_leaders_meet(spark):
     assert frozenset(("u", "v")) in got and len(got) == len(texts) - 1
 
 
+def test_truncated_copies_meet(spark):
+    """Two copies of a long text, cut at three quarters: similar to each other, wholly within their leader, below 0.8 with it."""
+    texts = {"W": numbered(0, 200), "t1": numbered(0, 150), "t2": numbered(0, 148)} | {f"x{k}": numbered(1_000 * k, 1_000 * k + 50) for k in range(1, 5)}
+    got = linked(spark, texts, [["W", "t1", "t2"], ["W", *[k for k in texts if k[0] == "x"]]])
+    assert frozenset(("t1", "t2")) in got and len(got) == len(texts) - 1
+
+
 def test_blocks_hold_every_pair(spark, monkeypatch):
     """However a bucket is dealt, each two texts outside its largest component, and each of them and one inside, meet once to be compared."""
     monkeypatch.setattr(near_dup, "BLOCK_ROWS", 4)
