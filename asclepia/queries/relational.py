@@ -247,6 +247,15 @@ def ivl_overlap_join(t, spark, sf_dir):
     return R.range_join(o, x, "a", "b", "x_a", "x_b", 32).select("o_orderkey", "x_key")
 
 
+@sql(f"WITH o AS ({_O}), m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS d FROM orders), x AS (SELECT (epoch(d) // 86400)::BIGINT AS x_a, (epoch(last_day(d)) // 86400)::BIGINT AS x_b FROM m) SELECT o_orderkey, x_a AS month_day FROM o JOIN x ON a <= x_b AND x_a <= b")
+def ivl_overlap_join_months(t, spark, sf_dir):
+    number = lambda x: F.datediff(x, F.lit("1970-01-01").cast("date")).cast("bigint")
+    o = t("orders").select("o_orderkey", number(c("o_orderdate")).alias("a"), (number(c("o_orderdate")) + 20).alias("b"))
+    months = R.distinct(t("orders").select(F.trunc("o_orderdate", "month").alias("d")))
+    x = months.select(number(c("d")).alias("x_a"), number(F.last_day("d")).alias("x_b"))
+    return R.range_join(o, x, "a", "b", "x_a", "x_b", 32).select("o_orderkey", c("x_a").alias("month_day"))
+
+
 @sql(f"WITH o AS ({_O}) SELECT x.o_orderkey AS k1, y.o_orderkey AS k2 FROM o x JOIN o y ON x.o_custkey = y.o_custkey AND x.a <= y.b AND y.a <= x.b AND x.o_orderkey < y.o_orderkey")
 def ivl_overlap_join_keyed(t, spark, sf_dir):
     day = F.datediff(c("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("bigint")

@@ -1,5 +1,7 @@
 """Edge cases of the operators: nulls, empties, ties, overflow."""
 
+from datetime import date, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,20 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_range_join_of_whole_tables(spark):
+    """Every order's interval against every order's, and the registered join of whole tables, by brute force."""
+    from asclepia.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    days = [(r.o_orderkey, r.day) for r in spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey", "datediff(o_orderdate, date'1970-01-01') day").collect()]
+    o = spark.createDataFrame([(k, d, d + 20) for k, d in days], "k long, a long, b long")
+    got = R.range_join(o, o.toDF("k2", "a2", "b2"), "a", "b", "a2", "b2", 32).select("k", "k2").collect()
+    assert sorted(map(tuple, got)) == sorted((k, k2) for k, d in days for k2, d2 in days if abs(d - d2) <= 20)
+    months = [(m - timedelta(m.day - 1), m) for m in {date(1970, 1, 1) + timedelta(d) for _, d in days}]
+    months = {low: (low + timedelta(31)).replace(day=1) - timedelta(1) for low, _ in months}
+    number = lambda d: (d - date(1970, 1, 1)).days
+    want = sorted((k, number(low)) for k, d in days for low, high in months.items() if d <= number(high) and number(low) <= d + 20)
+    assert {k for k, _ in want} == {k for k, _ in days}
+    assert sorted(map(tuple, QUERIES["ivl_overlap_join_months"](spark, sf).select("o_orderkey", "month_day").collect())) == want
