@@ -7,6 +7,8 @@ frames but the last have the highest bit rate; the last the lowest that fits, so
 The parser walks any stream of Layer III frames: it skips and reads tags, resynchronises behind damage at the next header that is
 followed by another header or the end, reads the variable-bit-rate table, verifies checksums, and gives the exact duration
 (samples over rate), and the offset of each frame.
+
+Not supported: Layer I and II and free-format bit rates, whose bytes count as skipped, and VBRI tables, which are taken as a sound frame.
 """
 
 from __future__ import annotations
