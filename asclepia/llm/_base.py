@@ -9,8 +9,8 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast on purpose only up to this many counted keys (about 16 MB as a hash relation).
@@ -26,10 +26,14 @@ def conf(spark: SparkSession, key: str, default: str | None = None) -> str | Non
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, the one that driver and executors share.
 
-    Only where that setting is absent (tests, a laptop) a local folder is made and remembered in the session.
+    Where that setting is absent, a Spark that runs in one process (tests, a laptop) gets a local folder, remembered in the
+    session; on a cluster that is an error, since no machine could read what another one wrote.
     """
     base = conf(spark, "spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="asclepia-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -51,32 +55,73 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes a table made by :func:`written` that no returned frame reads."""
-    delete(df.sparkSession, df._shared_path)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`written` that no returned frame reads."""
+    for df in tables:
+        delete(df.sparkSession, df._shared_path)
 
 
-def located(docs: DataFrame, columns: dict[str, "F.Column"]) -> DataFrame:
-    """``columns`` of ``docs`` with ``_file`` and ``_row``, the place of each row in its input file.
+#: What a plan may consist of for a row of its one file scan to come at most once, under its place.
+_PLAIN = {"LogicalRelation", "SubqueryAlias", "Project", "Filter"}
+
+
+def _plain_scan(docs: DataFrame) -> bool:
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in _PLAIN and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    if plan.nodeName() not in _PLAIN or plan.children().size() or not plan.metadataOutput().size():
+        return False
+    roots = plan.relation().location().rootPaths()
+    names = [roots.apply(i).toString().rstrip("/") + "/" for i in range(roots.size())]
+    return not any(a.startswith(b) for i, a in enumerate(names) for j, b in enumerate(names) if i != j)
 
-    The place is the same whenever the file is read again, whatever partitions or executors do, and tells repeated
-    rows apart. A frame that isn't a plain file scan is written to the shared folder first.
-    """
-    place = {"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
-    try:
-        return docs.select(*[c.alias(k) for k, c in (columns | place).items()])
-    except AnalysisException:
-        staged = written(docs, "staged")
-        return staged.select(*[c.alias(k) for k, c in (columns | place).items()])
+
+def _place(docs: DataFrame) -> tuple[Column, Column]:
+    at = docs.metadataColumn("_metadata")
+    return at["file_path"], at["row_index"]
 
 
 def at_rest(docs: DataFrame) -> DataFrame:
-    """``docs`` itself if its rows have places (see :func:`located`), else a written copy of it."""
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
-        return docs
-    except AnalysisException:
-        return written(docs, "staged")
+    """``docs`` itself if its rows have places of their own, else a written copy of it.
+
+    A place is the file and the row in it. It is the same whenever the file is read again, whatever partitions or executors do,
+    and tells repeated rows apart. Only a plain scan of Parquet files, columns and deterministic filters over it included, has one:
+    copies of a row that a join, an ``explode`` or a union makes share the row's place, and so does a file that is read twice.
+    """
+    if _plain_scan(docs):
+        try:
+            docs.select(*_place(docs)).schema  # noqa: B018  other formats have no row index
+            return docs
+        except PySparkException:
+            pass
+    return written(docs, "staged")
+
+
+def located(docs: DataFrame, columns: dict[str, Column], file: str = "_file", row: str = "_row") -> DataFrame:
+    """``columns`` of ``docs`` with the place of each row (see :func:`at_rest`) as ``file`` and ``row``."""
+    docs = at_rest(docs)
+    at_file, at_row = _place(docs)
+    return docs.select(*[c.alias(k) for k, c in columns.items()], at_file.alias(file), at_row.alias(row))
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as keep it apart from the columns of ``docs``."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_place(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """All columns of ``docs`` (a file scan, see :func:`at_rest`) and its rows' places under unused names, which are given too."""
+    file, row = fresh(docs, "_at_file", "_at_row")
+    at_file, at_row = _place(docs)
+    return docs.select("*", at_file.alias(file), at_row.alias(row)), file, row
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -119,7 +164,3 @@ def map_rows(df: DataFrame, fn: Callable[..., dict], schema: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
-
-
-def dense_hash(words: F.Column, seed: int = 42) -> F.Column:
-    return F.xxhash64(words, F.lit(seed))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -368,9 +369,32 @@ def classes(rows):
     return sorted(map(sorted, out.values()))
 
 
-def brute_force(rows, idf, similar=0.8):
-    words, at = word_hashes([t for _, t in rows])
-    vectors = [near_dup.vector(words[at[k] : at[k + 1]], idf) for k in range(len(rows))]
+def shingle_counts(text):
+    """Five-word shingles of a text and how often each comes, in plain Python."""
+    words = re.findall(rb"[0-9A-Za-z_\x80-\xff]+", (text or "").encode())
+    words = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+    k = min(5, len(words))
+    return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if k else Counter()
+
+
+def idf_reference(counts, known):
+    """idf of each shingle, of those rarer than 1 / ``known`` of all pairs as if they had just that."""
+    df = Counter(s for c in counts for s in c)
+    least = max(1, -(-df.total() // known))
+    return {s: 1 + math.log((1 + len(counts)) / (1 + max(n, least))) for s, n in df.items()}
+
+
+def weighted_jaccard(a, b):
+    if not a or not b:
+        return float(not a and not b)
+    return sum(min(w, b[s]) for s, w in a.items() if s in b) / sum(max(a.get(s, 0), b.get(s, 0)) for s in {*a, *b})
+
+
+def brute_force(rows, similar=0.8, known=near_dup.KNOWN):
+    """Classes by comparing all pairs."""
+    counts = [shingle_counts(t) for _, t in rows]
+    idf = idf_reference(counts, known)
+    vectors = [{s: n * idf[s] for s, n in c.items()} for c in counts]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -380,38 +404,84 @@ def brute_force(rows, idf, similar=0.8):
 
     for a in range(len(rows)):
         for b in range(a):
-            if near_dup.similarity(vectors[a], vectors[b]) >= similar:
+            if find(a) != find(b) and (bool(vectors[a]) == bool(vectors[b])) and (not vectors[a] or not vectors[a].keys().isdisjoint(vectors[b])) and weighted_jaccard(vectors[a], vectors[b]) >= similar:
                 parent[find(a)] = find(b)
     return classes((rows[k][0], find(k)) for k in range(len(rows)))
 
 
-def test_near_duplicates(spark, docs):
+def edited_copies(docs):
+    """The small documents, and copies of one text that are edited further and further: chains, and some too far."""
     rnd = random.Random(5)
     vocabulary = [f"w{i}" for i in range(3000)]
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     base = [rnd.choice(vocabulary) for _ in range(200)]
-    for k in range(60):  # copies of one text, edited further and further: chains, and some too far
+    for k in range(60):
         words = base[:]
         for _ in range(k % 6):
             words[rnd.randrange(200)] = rnd.choice(vocabulary)
         rows.append((10_000 + k, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("known", [near_dup.KNOWN, 1 << 9])
+def test_near_duplicates(spark, docs, monkeypatch, known):
+    monkeypatch.setattr(near_dup, "KNOWN", known)
+    rows = edited_copies(docs)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns(CLASH())
     got = near_dup.near_duplicates(df).collect()
-    idf = near_dup._document_frequencies(df.select("text"))
-    assert classes((r.doc_id, r.class_id) for r in got) == brute_force(rows, idf)
-    assert all(r.class_id == min(x.doc_id for x in got if x.class_id == r.class_id) for r in got[:50])
-    assert sum(r.kept for r in got) == len({r.class_id for r in got})
+    assert classes((r.doc_id, r.class_id) for r in got) == brute_force(rows, known=known)
+    size = Counter(r.class_id for r in got)
+    least = {c: min(r.doc_id for r in got if r.class_id == c) for c in size}
+    assert all(r.class_size == size[r.class_id] and r.class_id == least[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in got)
+
+
+def test_near_duplicates_with_hot_keys(spark, docs, monkeypatch):
+    """Every bucket and class is joined as a hot one."""
+    monkeypatch.setattr(near_dup, "LUKEWARM", 1)
+    monkeypatch.setattr(near_dup, "HOT", 1 << 40)
+    monkeypatch.setattr(near_dup, "MAX_BROADCAST_KEYS", 0)
+    rows = edited_copies(docs)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and classes((r.doc_id, r.class_id) for r in got) == brute_force(rows)
+
+
+def test_near_duplicates_of_long_and_repeated_rows(spark):
+    long = " ".join(f"v{i * i % 9973}" for i in range(300_000))
+    rows = [(1, long), (2, long + " more"), (3, "a b"), (3, "a b"), (3, "a b"), (4, "a  B!"), (5, "b a"), (6, "x" * 3_000_000), (7, "x" * 3_000_000 + " y"), (8, long[: len(long) // 2])]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == [(1, 1, 2), (2, 1, 2), (3, 3, 4), (3, 3, 4), (3, 3, 4), (4, 3, 4), (5, 5, 1), (6, 6, 1), (7, 7, 1), (8, 8, 1)]
+    assert sum(r.kept for r in got) == 6
+
+
+@pytest.mark.parametrize("known", [1 << 16, 1 << 9, 1 << 6])
+def test_shingle_frequencies(spark, docs, monkeypatch, known):
+    """Both passes, over many chunks, give each frequent shingle its df in all documents."""
+    monkeypatch.setattr(near_dup, "KNOWN", known)
+    monkeypatch.setattr(near_dup, "CHUNK", 5_000)
+    near_dup.arrow(spark)
+    texts = [r.text for r in docs.select("text").collect()] + [None, "", "one two"]
+    got = near_dup.inverse_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(7))
+    counts = [shingle_counts(t) for t in texts]
+    df = Counter(s for c in counts for s in c)
+    least = max(1, -(-df.total() // known))
+    frequent = {int(near_dup.shingles_of(word_hashes([b" ".join(s).decode()])[0])[0][0]): n for s, n in df.items() if n >= least}
+    assert {int(s): round(math.expm1(math.log1p(len(texts)) + 1 - v)) for s, v in zip(got.shingles, got.values, strict=True)} == frequent
+    assert abs(got.rare - 1 - math.log((1 + len(texts)) / (1 + least))) < 1e-12 and len(frequent) <= known
+
+
+PLAIN = near_dup.Idf(np.empty(0, np.uint64), np.empty(0), 1.0)
 
 
 def linked(spark, texts, buckets):
-    """Components, as sets of names, of texts by name in the given buckets."""
+    """Components, as sets of names, of texts by name in the given buckets of (leader, others)."""
     name = {k: k.encode() for k in texts}
-    frame = spark.createDataFrame([(name[k], t, len(t)) for k, t in texts.items()], "d binary, text string, chars long")
-    rows = spark.createDataFrame([(b, name[k]) for b, names in enumerate(buckets) for k in names], "band long, d binary")
-    idf = spark.sparkContext.broadcast(np.ones(near_dup.DF_BUCKETS, np.float32))
+    frame = near_dup.written(spark.createDataFrame([(name[k], t) for k, t in texts.items()], "d binary, text string"), "texts")
+    rows = [(b, name[k], len(texts[k]), len(names), sum(len(texts[x]) for x in names), name[names[0]]) for b, names in enumerate(buckets) for k in names]
+    led = near_dup.written(spark.createDataFrame(rows, "band long, d binary, chars long, n long, bucket_chars long, a binary"), "led")
     near_dup.arrow(spark)
+    labels = near_dup._linked(led, frame, spark.sparkContext.broadcast(PLAIN), 0.8, len(rows))
     got = {}
-    for r in near_dup._linked(near_dup.written(rows, "buckets"), near_dup.written(frame, "texts"), idf, 0.8).collect():
+    for r in near_dup._components_of(frame.select("d"), labels).collect():
         got.setdefault(bytes(r.c), set()).add(bytes(r.d).decode())
     return {frozenset(x) for x in got.values()}
 
@@ -421,10 +491,10 @@ def numbered(a, b):
 
 
 def test_texts_of_different_leaders_meet(spark):
-    """u and v share a bucket, are similar and below 0.8 with its leader; v's most central leader is another, which u doesn't know."""
+    """u and v share a bucket, are similar and below 0.8 with its leader; v has another leader too, which u doesn't know."""
     texts = {"u": numbered(0, 200), "v": numbered(0, 195), "L1": numbered(60, 300), "L2": numbered(-80, 140)} | {f"x{k}": numbered(1_000 * k, 1_000 * k + 50) for k in range(1, 9)}
     others = [k for k in texts if k[0] == "x"]
-    got = linked(spark, texts, [["u", "v", "L1"], ["L1", *others[:3]], ["v", "L2"], ["L2", *others]])
+    got = linked(spark, texts, [["L1", "u", "v"], ["L1", *others[:3]], ["L2", "v"], ["L2", *others]])
     assert frozenset(("u", "v")) in got and len(got) == len(texts) - 1
 
 
@@ -435,15 +505,24 @@ def test_truncated_copies_meet(spark):
     assert frozenset(("t1", "t2")) in got and len(got) == len(texts) - 1
 
 
-def test_blocks_hold_every_pair(spark, monkeypatch):
+def test_rounds_add_up(spark):
+    """The first round links L and p, q and r; the second links p and q: one component; s stays apart."""
+    texts = {"L": numbered(0, 200), "p": numbered(10, 210), "q": numbered(20, 220), "M": numbered(38, 232), "r": numbered(30, 225), "s": numbered(500, 700)}
+    assert linked(spark, texts, [["L", "p"], ["M", "q", "r"], ["s", "p", "q"]]) == {frozenset("LpqMr"), frozenset("s")}
+    assert linked(spark, texts, [["s", "p", "q"]]) == {frozenset("pq"), *(frozenset([k]) for k in "LMrs")}
+    assert len(linked(spark, texts, [["s", "L"]])) == 6
+
+
+@pytest.mark.parametrize("hot", [1, 1_000])
+def test_blocks_hold_every_pair(spark, monkeypatch, hot):
     """However a bucket is dealt, each two texts outside its largest component, and each of them and one inside, meet once to be compared."""
     monkeypatch.setattr(near_dup, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(near_dup, "LUKEWARM", hot)
     name = lambda k: bytes([k])
-    led = near_dup.written(spark.createDataFrame([(7, name(k), name(0)) for k in range(40)], "band long, d binary, a binary"), "led")
-    comps = spark.createDataFrame([(name(k), name(1 if k < 20 else k)) for k in range(40)], "d binary, c binary")
-    texts = spark.createDataFrame([(name(k), 10) for k in range(40)], "d binary, chars long")
+    led = near_dup.written(spark.createDataFrame([(7, name(k), 10, 40, 400, name(0)) for k in range(40)], "band long, d binary, chars long, n long, bucket_chars long, a binary"), "led")
+    labels = spark.createDataFrame([(name(k), name(1)) for k in range(1, 20)], "node binary, root binary")
     units = {}
-    for r in near_dup._blocks(led, comps, texts).collect():
+    for r in near_dup._blocks(led, labels, 40).collect():
         units.setdefault((r.i, r.j), []).append(r)
     met = [(bytes(u.d), bytes(v.d)) for x in units.values() for u in x for v in x if u.asks and v.member and u.c != v.c and (not v.apart or v.d > u.d)]
     assert len(units) > 4 and len(met) == len(set(met))
@@ -520,8 +599,7 @@ def test_pipeline(spark):
     assert set(texts[1]) <= set(texts[0]) and len(texts[1]) > 0.7 * len(texts[0])
     lowered = ["".join(ch.lower() if "A" <= ch <= "Z" else ch for ch in t) for _, t in texts[2]]
     assert len(set(lowered)) == len(lowered) == len({"".join(ch.lower() if "A" <= ch <= "Z" else ch for ch in t) for _, t in texts[1]})
-    idf = near_dup._document_frequencies(seen[2].select("text"))
-    assert len(texts[3]) == len(brute_force(texts[2], idf))
+    assert len(texts[3]) == len(brute_force(texts[2]))
     assert set(texts[4]) <= set(texts[3])
     final = corpus_pipeline.run(spark, sf)
     assert final.count() == len(texts[4])
