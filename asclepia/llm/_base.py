@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast on purpose only up to this many counted keys (about 16 MB as a hash relation).
 MAX_BROADCAST_KEYS = 200_000
+#: A key is hot if it has 1 / HOT of the rows or more; one with fewer rows than LUKEWARM never is.
+HOT, LUKEWARM = 1_000, 1_000
 #: Rows and bytes of one Arrow batch; documents can be long, so the default of 10,000 rows is too many.
 ARROW_ROWS, ARROW_BYTES = 1_000, 8 << 20
 
@@ -129,6 +131,17 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_KEYS else df
 
 
+def joined(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table``, which has ``key`` once and in ``size`` how many of about ``total`` rows have that key.
+
+    Hot keys, ``HOT`` at most since their sizes add up, are broadcast; rows that have them aren't shuffled. The others are joined as Spark sees fit.
+    """
+    hot = F.col(size) >= max(LUKEWARM, total // HOT)
+    warm = F.broadcast(table.filter(hot))
+    rest = rows.join(warm.select(key), key, "left_anti").join(table.filter(~hot), key, how)
+    return rows.join(warm, key).unionByName(rest)
+
+
 def shipped(spark: SparkSession) -> None:
     """Gives the executors this package, once per context, so that jobs need no installation or PYTHONPATH there."""
     sc = spark.sparkContext

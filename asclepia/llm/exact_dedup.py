@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asclepia.llm._base import at_rest, dropped, located, shared_dir, small_side, written
+from asclepia.llm._base import at_rest, delete, dropped, fresh, joined, located, shared_dir, small_side, with_place, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -30,7 +30,7 @@ class DedupState:
     """The keyed state: an inbox folder for events and the checkpoint of the query that folds them."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, files_per_trigger: int | None = None) -> None:
-        folder = folder or shared_dir(spark, "dedup-state")
+        self.folder = folder = folder or shared_dir(spark, "dedup-state")
         self.spark, self.inbox, self.checkpoint, self.per_trigger = spark, f"{folder}/inbox", f"{folder}/checkpoint", files_per_trigger
         self.session = spark.newSession()  # the streaming settings stay out of the caller's session
         for key, value in {
@@ -82,13 +82,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select(F.substring("sha", 1, key_bytes).alias("digest"), "id", "sha", "_file", "_row")
     state = DedupState(spark, files_per_trigger=files_per_trigger)
     state.add(rows)
+    events = state.events()
     hits = written(state.groups().filter("n > 1"), "dedup-hits")
-    n_hits = hits.count()
+    grouped = joined(events, hits, "digest", "n", events.count(), "left")
+    grouped = written(grouped.select(
+        "digest", "id", "sha", "_file", "_row", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("head", F.struct("id", "_file", "_row")).alias("head"),
+    ), "dedup-rows")
 
     # Full bytes on hits: equal digests with different contents show as two groups of the same digest. The rows whose
     # bytes are read again are found by their content locator.
-    hit_rows = written(state.events().join(small_side(hits.select("digest"), n_hits), "digest", "left_semi").select(
-        F.xxhash64("_file", "_row").alias("place")), "dedup-hit-rows")
+    hit_rows = written(grouped.filter("n > 1").select(F.xxhash64("_file", "_row").alias("place")), "dedup-hit-rows")
     full = located(docs, {"id": F.col(id_col), "text": F.col(text_col)}).withColumn("place", F.xxhash64("_file", "_row"))
     full = full.join(small_side(hit_rows, hit_rows.count()), "place", "left_semi")
     full = full.select("id", "_file", "_row", normalised(F.col("text")).alias("content"))
@@ -97,23 +100,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     collided = contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("digest")
     collided = written(collided, "dedup-collided")
     n_collided = collided.count()
-
-    events = state.events()
-    if n_collided:
-        events = events.join(small_side(collided, n_collided), "digest", "left_anti")
-    plain = events.join(hits, "digest", "left").select(
-        F.col("id"), F.col("sha"), "_file", "_row", F.coalesce("n", F.lit(1)).alias("n"),
-        F.when(F.col("n").isNull(), F.struct("id", "_file", "_row")).otherwise(F.col("head")).alias("head"),
-    )
+    plain = grouped
     if n_collided:
         mixed = full.join(small_side(collided, n_collided), "digest", "left_semi")
         true_groups = mixed.groupBy("digest", "content").agg(
             F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "_file", "_row")).alias("head")
         )
-        split = mixed.join(true_groups, ["digest", "content"]).select("id", "sha", "_file", "_row", "n", "head")
-        plain = plain.unionByName(split)
-    else:
-        dropped(collided)
+        split = mixed.join(true_groups, ["digest", "content"]).select("digest", "id", "sha", "_file", "_row", "n", "head")
+        plain = written(grouped.join(small_side(collided, n_collided), "digest", "left_anti").unionByName(split), "dedup-rows")
+        dropped(grouped)
+    dropped(hits, hit_rows, collided)
+    delete(spark, state.folder)
     return plain.select(
         F.col("id").alias(id_col), F.col("head.id").alias("keep_id"), F.col("n").cast("long").alias("group_size"),
         ((F.col("head._file") == F.col("_file")) & (F.col("head._row") == F.col("_row"))).alias("kept"),
@@ -123,11 +120,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows at the places in ``gone`` (_file, _row); ``docs`` must be a file scan (at_rest)."""
-    gone = written(gone.select(F.col("_file").alias("_gone_file"), F.col("_row").alias("_gone_row")), "gone")
-    n = gone.count()
-    return docs.select("*", F.col("_metadata.file_path").alias("_at_file"), F.col("_metadata.row_index").alias("_at_row")).join(
-        small_side(gone, n), (F.col("_at_file") == F.col("_gone_file")) & (F.col("_at_row") == F.col("_gone_row")), "left_anti"
-    ).select(*[F.col(f"`{c}`") for c in docs.columns])
+    at, file, row = with_place(docs)
+    gone_file, gone_row = fresh(at, "_gone_file", "_gone_row")
+    gone = written(gone.select(F.col("_file").alias(gone_file), F.col("_row").alias(gone_row)), "gone")
+    same = (F.col(file) == F.col(gone_file)) & (F.col(row) == F.col(gone_row))
+    return at.join(small_side(gone, gone.count()), same, "left_anti").drop(file, row)
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

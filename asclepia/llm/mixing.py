@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from asclepia.llm._base import at_rest, located, small_side, written
+from asclepia.llm._base import at_rest, fresh, joined, located, small_side, with_place, written
 
 BLOCK = 128
 #: Weights of the sources in their order, repeating.
@@ -72,9 +72,6 @@ def _pair(acc: Column, x: Column) -> Column:
     def item(e: Column, p: Column) -> Column:
         return F.struct(*[e[f].alias(f) for f in fields], p.alias("p"))
 
-    def settled(e: Column, p: Column) -> Column:
-        return F.array(item(e, p))
-
     def step(v: Column) -> Column:
         c, up, top, bottom = v["c"], v["up"], v["top"], v["bottom"]
         cp, xp, cs, xs = c["p"], x["p"], c["size"], x["size"]
@@ -125,13 +122,21 @@ def mix(
     """One row per row of ``docs``: doc_id, size, source_size, target (its source's), taken (words), copies, _file, _row.
 
     copies is target / source_size rounded down or up, so no document exceeds ``most`` times its size. The randomness is a
-    hash of id, text and ``seed``: reruns agree, whatever the files (a null id is told apart by its row in the file). Null text has size 0 and is never taken; a null source is a source of its own,
+    hash of id, text and ``seed``: reruns agree, whatever the files (rows that repeat id and text, and null ids, are told apart by their place). Null text has size 0 and is never taken; a null source is a source of its own,
     the last; an empty table gives no rows; repeated rows are decided each for itself; other columns are not looked at.
     """
     docs = at_rest(docs)
     # What randomness comes from: id and text, so that the same documents in other files or order are decided alike.
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.col("_metadata.row_index"))).otherwise(F.xxhash64(F.col(id_col), F.col(text_col)))
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
     base = written(located(docs, {"id": F.col(id_col), "source": F.col(source_col), "size": words(F.col(text_col)), "key": key}), "mix-sizes")
+    # Only rows that repeat id and text, or have no id, are told apart by their place; otherwise they would all be in one block.
+    again = written(base.filter("id IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("_again")).filter("_again > 1"), "mix-repeats")
+    if again.limit(1).count():
+        base = joined(base, again, "key", "_again", base.count(), "left")
+    else:
+        base = base.withColumn("_again", F.lit(None).cast("long"))
+    own = F.when(F.col("_again").isNull() & F.col("id").isNotNull(), F.col("key")).otherwise(F.xxhash64("key", "_file", "_row"))
+    base = base.withColumn("key", own).drop("_again")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     sizes = written(sizes, "mix-sources")
     goals = targets(sizes.select("source", "source_size"), weights, most)
@@ -167,10 +172,9 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: rows not taken are gone, rows taken k times come k times, all columns as they were."""
     docs = at_rest(docs)
-    copies = mix(docs, **options).filter("copies > 0").select(
-        F.col("_file").alias("_mix_file"), F.col("_row").alias("_mix_row"), F.col("copies").cast("int").alias("_mix_copies")
-    )
-    at = docs.select("*", F.col("_metadata.file_path").alias("_at_file"), F.col("_metadata.row_index").alias("_at_row"))
-    taken = at.join(copies, (F.col("_at_file") == F.col("_mix_file")) & (F.col("_at_row") == F.col("_mix_row")))
-    taken = taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    at, file, row = with_place(docs)
+    mix_file, mix_row, mix_copies, mix_copy = fresh(at, "_mix_file", "_mix_row", "_mix_copies", "_mix_copy")
+    copies = mix(docs, **options).filter("copies > 0").select(F.col("_file").alias(mix_file), F.col("_row").alias(mix_row), F.col("copies").cast("int").alias(mix_copies))
+    taken = at.join(copies, (F.col(file) == F.col(mix_file)) & (F.col(row) == F.col(mix_row)))
+    taken = taken.withColumn(mix_copy, F.explode(F.sequence(F.lit(1), F.col(mix_copies))))
+    return taken.drop(file, row, mix_file, mix_row, mix_copies, mix_copy)

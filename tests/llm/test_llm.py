@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from asclepia.llm import bpe_codec, exact_dedup, language_id, media_mpeg, mixing, near_dup, quality, token_counts, token_store, warc
+from asclepia.llm import _base, bpe_codec, exact_dedup, language_id, media_mpeg, mixing, near_dup, quality, token_counts, token_store, warc
 from asclepia.llm._hashing import word_hashes
 from asclepia.llm._tokenizers import encode_texts, tokenizer
 
@@ -128,11 +128,50 @@ def test_mixing_many_blocks(spark):
     assert mixing.mixed_documents(df).count() == mixing.mix(df).agg(F.sum("copies")).first()[0]
 
 
+def test_mixing_reruns_agree(spark, docs, tmp_path):
+    """Row by row, whatever the files and their order."""
+    docs.repartition(5, "n_chars").write.parquet(f"{tmp_path}/docs")
+    rows = lambda df: sorted((r.doc_id, r.size, r.target, r.taken) for r in mixing.mix(df).collect())
+    assert rows(docs) == rows(spark.read.parquet(f"{tmp_path}/docs")) == rows(docs.orderBy(F.desc("doc_id")))
+
+
+def test_mixing_repeated_rows(spark):
+    """Many wholly equal rows, and rows without ids, are dealt to blocks like others."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 4 > 0, F.lit(1)).when(F.col("id") % 8 == 0, F.col("id")).alias("doc_id"), F.lit("a b c").alias("text"), (F.col("id") % 16 == 0).cast("string").alias("source"))
+    got = mixing.mix(df).groupBy("target").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n")).collect()
+    assert sorted(r.n for r in got) == [1_250, 18_750] and all(abs(r.taken - r.target) <= 3 for r in got)
+
+
 def test_mixing_is_native(docs):
     plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+# Rows have no identity but their place, and a place counts only in a plain file scan.
+
+
+def test_copies_of_rows(spark, docs):
+    twice = docs.withColumn("_metadata", F.explode(F.array(F.lit(1), F.lit(2))))
+    distinct = len({"".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or "") for r in docs.collect()})
+    assert exact_dedup.kept_documents(twice).count() == distinct
+    assert exact_dedup.kept_documents(spark.read.parquet(f"{SF}/documents.parquet", f"{SF}/documents.parquet")).count() == distinct
+    assert sum(r.kept for r in near_dup.near_duplicates(docs.union(docs)).collect()) == len(brute_force([(r.doc_id, r.text) for r in docs.collect()] * 2))
+    got = mixing.mix(twice).groupBy("target", "source_size").agg(F.sum("taken").alias("taken"), F.max("size").alias("largest")).collect()
+    assert all(abs(r.taken - r.target) <= r.largest / 2 + 1 for r in got)
+    names = docs.withColumns({c: F.lit(c) for c in ("_metadata", "_file", "_row", "_at_file", "_AT_ROW", "_gone_file", "_gone_row", "_mix_file", "_mix_row", "_mix_copies", "_mix_copy", "a b.c", "`")})
+    kept = exact_dedup.kept_documents(names)
+    assert kept.columns == names.columns and kept.count() == distinct
+    mixed = mixing.mixed_documents(names)
+    assert mixed.columns == names.columns and mixed.count() == mixing.mix(docs).agg(F.sum("copies")).first()[0]
+
+
+def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(_base, "conf", lambda *a: None)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        _base.shared_dir(spark, "x")
+
+
 # 3. Language.
 
 
@@ -437,8 +476,8 @@ def test_near_duplicates(spark, docs, monkeypatch, known):
 
 def test_near_duplicates_with_hot_keys(spark, docs, monkeypatch):
     """Every bucket and class is joined as a hot one."""
-    monkeypatch.setattr(near_dup, "LUKEWARM", 1)
-    monkeypatch.setattr(near_dup, "HOT", 1 << 40)
+    monkeypatch.setattr(_base, "LUKEWARM", 1)
+    monkeypatch.setattr(_base, "HOT", 1 << 40)
     monkeypatch.setattr(near_dup, "MAX_BROADCAST_KEYS", 0)
     rows = edited_copies(docs)
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -517,7 +556,7 @@ def test_rounds_add_up(spark):
 def test_blocks_hold_every_pair(spark, monkeypatch, hot):
     """However a bucket is dealt, each two texts outside its largest component, and each of them and one inside, meet once to be compared."""
     monkeypatch.setattr(near_dup, "BLOCK_ROWS", 4)
-    monkeypatch.setattr(near_dup, "LUKEWARM", hot)
+    monkeypatch.setattr(_base, "LUKEWARM", hot)
     name = lambda k: bytes([k])
     led = near_dup.written(spark.createDataFrame([(7, name(k), 10, 40, 400, name(0)) for k in range(40)], "band long, d binary, chars long, n long, bucket_chars long, a binary"), "led")
     labels = spark.createDataFrame([(name(k), name(1)) for k in range(1, 20)], "node binary, root binary")
