@@ -1,8 +1,9 @@
-"""The tokenizers library over chunks that it can never join: each distinct chunk of a text is encoded once.
+"""The tokenizers library over chunks that it can never join: each distinct chunk of a batch is encoded once.
 
 A whole text's ids are the chunks' ids in order whenever the cuts are where the library's own pre-tokenizer always cuts.
-Most chunks of a corpus repeat, so that looking up a chunk costs a dictionary access instead of an encoding. The
-dictionary is bounded: when full it keeps the half that was used most.
+Most chunks of a corpus repeat, so that looking up a chunk costs a dictionary access instead of an encoding. Arrow cuts and counts
+the chunks of a batch, so that Python only sees the distinct ones. What a worker remembers is bounded in chunks and in
+characters: beyond that it keeps the half that was used most.
 """
 
 from __future__ import annotations
@@ -11,9 +12,13 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct chunks that a worker remembers, about 200 bytes each.
-MAX_CHUNKS = 500_000
+#: Distinct chunks, and characters of them, that a worker remembers.
+MAX_CHUNKS, MAX_CHARS = 600_000, 16 << 20
+#: New chunks that go to the library in one text.
+TOGETHER = 1_024
 
 _loaded: dict = {}
 
@@ -39,97 +44,163 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+class Growing:
+    """An array that grows by doubling."""
+
+    def __init__(self, kind) -> None:
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros(max(self.n, len(more)) + len(more), self.held.dtype)])
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class Chunks(dict):
-    """Chunk to its number; ids of number i are flat[starts[i]:starts[i + 1]]."""
+    """Chunk to its number; what ``encode`` gives for number i is flat[starts[i]:starts[i + 1]].
+
+    ``encode`` takes chunks and gives their values one after the other, as one array, and how many each has.
+    """
 
-    def __init__(self, encode, most: int = MAX_CHUNKS) -> None:
-        self.encode, self.most, self.new = encode, most, []
-        self.flat, self.starts, self.used = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+    def __init__(self, encode, kind=np.uint32, most: int = MAX_CHUNKS, most_chars: int = MAX_CHARS) -> None:
+        self.encode, self.kind, self.most, self.most_chars = encode, kind, most, most_chars
+        self._reset()
+
+    def _reset(self) -> None:
+        self.flat, self.starts, self.used, self.new, self.chars = Growing(self.kind), Growing(np.int64), Growing(np.int64), [], 0
+        self.starts.extend(np.zeros(1, np.int64))
 
     def __missing__(self, chunk: str) -> int:
         number = self[chunk] = len(self)
         self.new.append(chunk)
         return number
 
-    def numbers(self, chunks: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-
-    def learn(self) -> None:
-        """Encodes the chunks that came since the last call."""
-        for at in range(0, len(self.new), 4096):
-            ids = self.encode(self.new[at : at + 4096])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.new = []
-
-    def note(self, numbers: list[np.ndarray]) -> None:
-        """Counts the uses of chunks, for trim."""
-        used = np.bincount(np.concatenate(numbers), minlength=len(self)) if numbers else np.zeros(len(self), np.int64)
-        used[: len(self.used)] += self.used
-        self.used = used
+    def numbers(self, chunks: list[str], uses: np.ndarray | None = None) -> np.ndarray:
+        """Their numbers; new ones are encoded. ``uses`` says how often each is used, once if None."""
+        out = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        if self.new:
+            flat, sizes = self.encode(self.new)
+            self.flat.extend(flat)
+            self.starts.extend(self.starts.all[-1] + np.cumsum(sizes))
+            self.used.extend(np.zeros(len(sizes), np.int64))
+            self.chars += sum(map(len, self.new))
+            self.new = []
+        np.add.at(self.used.all, out, 1 if uses is None else uses)
+        return out
 
     def trim(self) -> None:
-        if len(self) > self.most:
-            most_used = np.sort(np.argpartition(-self.used, self.most // 2)[: self.most // 2])
-            chunks = list(self)
-            kept = [chunks[i] for i in most_used.tolist()]
-            sizes = self.sizes(most_used)
-            self.flat, self.starts = self.ids(most_used), np.concatenate([[0], np.cumsum(sizes)])
-            self.used = self.used[most_used] // 2
-            self.clear()
-            self.update(zip(kept, range(len(kept)), strict=True))
+        """Forgets the half that was used least, once there are too many; numbers change."""
+        if len(self) <= self.most and self.chars <= self.most_chars:
+            return
+        chunks = list(self)
+        order = np.argsort(-self.used.all, kind="stable")
+        chars = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks))[order])
+        kept = np.sort(order[: self.most // 2][chars[: self.most // 2] <= self.most_chars // 2])
+        flat, sizes, used = self.values(kept), self.sizes(kept), self.used.all[kept] // 2
+        names = [chunks[i] for i in kept.tolist()]
+        self.clear()
+        self._reset()
+        self.update(zip(names, range(len(names)), strict=True))
+        self.flat.extend(flat)
+        self.starts.extend(np.cumsum(sizes))
+        self.used.extend(used)
+        self.chars = sum(map(len, names))
 
     def sizes(self, numbers: np.ndarray) -> np.ndarray:
-        return self.starts[numbers + 1] - self.starts[numbers]
+        starts = self.starts.all
+        return starts[numbers + 1] - starts[numbers]
 
-    def ids(self, numbers: np.ndarray) -> np.ndarray:
+    def values(self, numbers: np.ndarray) -> np.ndarray:
         sizes = self.sizes(numbers)
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total, dtype=np.int64) + np.repeat(self.starts[numbers] - (ends - sizes), sizes)
-        return self.flat[at]
+        at = np.arange(total, dtype=np.int64) + np.repeat(self.starts.all[numbers] - (ends - sizes), sizes)
+        return self.flat.all[at]
 
 
-#: A space next to other white space: only there a cut before a space may be wrong.
-_TOUCHING = re.compile(r" \s|\s ")
+#: Where a space has other white space beside it; only there a cut before a space may be wrong. What patterns call \s, and four separators.
+_SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]".encode().decode("unicode_escape")
+_TOUCHING = f" {_SPACE}|{_SPACE} "
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-def space_chunks(text: str) -> list[str]:
-    """Cuts a text before single spaces between two other characters, where a byte-level BPE's pattern always cuts.
+def cut_at_spaces(texts: pa.Array, single: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All chunks of texts without nulls one after the other, how many each text has, and which text they are of.
 
-    There a match that ends has no white space at its end, and the next one starts with the space. The first chunk is
-    given as it is and marked with a NUL before it; each other chunk stands for itself after a space.
+    Texts are cut at each space or, if ``single``, only at spaces between two characters other than white space.
     """
-    parts = _CUT.split(text) if _TOUCHING.search(text) else text.split(" ")
-    parts[0] = "\0" + parts[0]
-    return parts
+    if not single:
+        cut = pc.split_pattern(texts, " ")
+        return cut.flatten(), np.diff(cut.offsets.to_numpy()), np.arange(len(texts))
+    touching = pc.match_substring_regex(texts, _TOUCHING).to_numpy(zero_copy_only=False)
+    plain = pc.split_pattern(texts.filter(pa.array(~touching)), " ")
+    odd = [_CUT.split(t) for t in texts.filter(pa.array(touching)).to_pylist()]
+    flat = plain.flatten()
+    if odd:
+        flat = pa.concat_arrays([flat, pa.array([c for x in odd for c in x], flat.type)])
+    counts = np.concatenate([np.diff(plain.offsets.to_numpy()), np.array([len(x) for x in odd], np.int64)]).astype(np.int64)
+    return flat, counts, np.concatenate([np.flatnonzero(~touching), np.flatnonzero(touching)])
 
 
 def byte_level_chunks(path: str) -> Chunks:
-    """For space_chunks: its chunks' ids by the library."""
+    """Ids of chunks that follow a space, by the library; a chunk after the mark NUL stands for itself."""
     key = ("byte-level", path)
     if key not in _loaded:
         t = tokenizer(path)
-        whole = lambda c: c[1:] if c.startswith("\0") else " " + c  # noqa: E731  a NUL inside a text has a space before it
-        _loaded[key] = Chunks(lambda cs: [e.ids for e in t.encode_batch_fast([whole(c) for c in cs], add_special_tokens=False)])
+        spaced = np.zeros(max(t.get_vocab().values()) + 1, bool)  # ids of tokens that begin with a space
+        spaced[[i for token, i in t.get_vocab().items() if token.startswith("Ġ")]] = True
+
+        def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            # Behind a space, a chunk without one begins with its only token that begins with a space; so many go in one text.
+            together = [i for i, c in enumerate(chunks) if c and c[0] != "\0" and " " not in c and not c[0].isspace() and not c[-1].isspace()]
+            texts = [" " + " ".join([chunks[i] for i in together[a : a + TOGETHER]]) for a in range(0, len(together), TOGETHER)]
+            found = [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = np.concatenate(found) if found else np.empty(0, np.uint32)
+            sizes = np.zeros(len(chunks), np.int64)
+            at = np.append(np.flatnonzero(spaced[ids]), len(ids))
+            sizes[together] = np.diff(at)
+            if len(together) == len(chunks):
+                return ids, sizes
+            alone = sorted(set(range(len(chunks))).difference(together))
+            rest = t.encode_batch_fast([chunks[i][1:] if chunks[i].startswith("\0") else " " + chunks[i] for i in alone], add_special_tokens=False)
+            out: list = [None] * len(chunks)
+            for k, i in enumerate(together):
+                out[i] = ids[at[k] : at[k + 1]]
+            for i, e in zip(alone, rest, strict=True):
+                out[i] = np.array(e.ids, np.uint32)
+                sizes[i] = len(out[i])
+            return np.concatenate(out), sizes
+
+        _loaded[key] = Chunks(encode)
     return _loaded[key]
 
 
-def encode_texts(path: str, texts: list[str | None]) -> list[np.ndarray]:
-    """Each text's ids as the library gives them for the whole text, without added special tokens; null as empty."""
+def encode_texts(path: str, texts: pa.Array) -> list[np.ndarray]:
+    """Each text's ids as the library gives them for the whole text, without added special tokens; null as empty.
+
+    The library's byte-level pattern always cuts before a single space between two other characters: a match that ends there has no
+    white space at its end, and the next one starts with the space.
+    """
     chunks = byte_level_chunks(path)
-    numbers = [chunks.numbers(_unambiguous(space_chunks(t or ""))) for t in texts]
-    chunks.learn()
-    out = [chunks.ids(n) for n in numbers]
-    chunks.note(numbers)
+    flat, counts, owners = cut_at_spaces(pc.fill_null(texts, ""), single=True)
+    coded = flat.dictionary_encode()
+    index = coded.indices.to_numpy()
+    values = coded.dictionary.to_pylist()
+    # A later chunk that itself starts with NUL gets its space in front, behind the mark of a whole chunk.
+    values = ["\0 " + v if v[:1] == "\0" else v for v in values]
+    first = np.cumsum(counts) - counts
+    heads = ["\0" + v for v in flat.take(pa.array(first)).to_pylist()]
+    numbers = chunks.numbers(values, np.bincount(index, minlength=len(values)))[index]
+    numbers[first] = chunks.numbers(heads)
+    ids = chunks.values(numbers)
+    ends = np.concatenate([[0], np.cumsum(chunks.sizes(numbers))])[np.cumsum(counts)]
     chunks.trim()
+    out: list = [None] * len(owners)
+    for i, a, b in zip(owners.tolist(), np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+        out[i] = ids[a:b]
     return out
-
-
-def _unambiguous(parts: list[str]) -> list[str]:
-    """A later chunk that itself starts with NUL gets its space in front, behind the mark of a whole chunk."""
-    if any(p[:1] == "\0" for p in parts[1:]):
-        parts[1:] = ["\0 " + p if p[:1] == "\0" else p for p in parts[1:]]
-    return parts

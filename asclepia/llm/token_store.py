@@ -164,8 +164,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str = "byte_bpe_5
             return pa.RecordBatch.from_pydict({"part": [part], "shard": [k], "path": [w.uri], "docs": [n_docs], "ids": [n_ids], "bytes": [n_bytes]}, schema=out)
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_texts(tokenizer_path, texts), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_texts(tokenizer_path, batch.column(1)), strict=True):
                 writer = writer or ShardWriter(folder, f"part-{part:06d}-{shard:04d}.tok", bits)
                 writer.add(doc_id, np.concatenate([ids, ending]))
                 if writer.n >= SHARD_IDS:
