@@ -7,6 +7,8 @@ difference of ranks, or ``TOP`` for an n-gram that its profile lacks.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,10 +20,9 @@ from asclepia.llm._base import arrow, map_rows, small_side, written
 TOP = 300
 #: Profiles are fitted on about this many documents of each language at most, picked by a hash of the id.
 TRAIN_DOCS = 2_000
-#: And for the languages with the most documents, up to this many.
-MAX_LANGUAGES = 1_000
 #: Characters of a text that are counted at once; longer texts are counted piece by piece and summed.
 PIECE = 1 << 20
+_PLAIN_LETTERS = ("Lu", "Ll", "Lt", "Lo")
 _MARK = 1  # stands for the edge of a word; no letter has this code point
 
 _letters: list[np.ndarray] = []
@@ -34,38 +35,62 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+def _symbols(points: np.ndarray, inside: bool) -> np.ndarray:
+    """Letters, and one mark for what is between two words; ``inside``: a word goes on from before."""
     letter = letters()[points]
     keep = letter.copy()
-    keep[1:] |= letter[:-1]  # of what is between two words, one stays
-    y = np.where(letter, points, _MARK)[keep].astype(np.uint64)
-    if not letter.any():
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    y = np.concatenate([[np.uint64(_MARK)], y, [np.uint64(_MARK)] * int(y[-1] != _MARK)]).astype(np.uint64)
+    keep[1:] |= letter[:-1]
+    keep[:1] |= inside
+    return np.where(letter, points, _MARK)[keep].astype(np.uint64)
+
+
+def _grams(tail: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that end in the symbols ``new``, which come after ``tail``: two symbols, or the mark at the start of a text."""
+    y = np.concatenate([tail, new])
     real = y != _MARK
     pairs = y[:-1] << np.uint64(21) | y[1:]
     triples = (pairs[:-1] << np.uint64(21) | y[2:])[real[1:-1]]
-    return np.unique(np.concatenate([y[real], pairs, triples]), return_counts=True)
+    return np.unique(np.concatenate([new[new != _MARK], pairs[len(tail) - 1 :], triples]), return_counts=True)
+
+
+def _cut(text: str, at: int) -> int:
+    """The first place from ``at`` on where lower-casing both sides apart is lower-casing the whole.
+
+    That is behind white space, or between two letters that have no part in the rule for a sigma at a word's end.
+    """
+    while at < len(text):
+        a, b = text[at - 1], text[at]
+        if a.isspace() or (unicodedata.category(a) in _PLAIN_LETTERS and unicodedata.category(b) in _PLAIN_LETTERS and "\u03a3" not in (a, b)):
+            return at
+        at += 1
+    return at
 
 
 def count_grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of a whole text as numbers, ascending, and how often each comes."""
     text = text or ""
-    if len(text) <= PIECE:
-        return _grams(text)
     codes, counts, at = [], [], 0
+    tail = np.array([_MARK], np.uint64)
     while at < len(text):
-        end = at + PIECE
-        while end < len(text) and text[end - 1].isalpha() and end - at < 2 * PIECE:
-            end += 1
-        c, n = _grams(text[at:end])
+        end = _cut(text, at + PIECE) if len(text) - at > PIECE else len(text)
+        points = np.frombuffer(text[at:end].lower().encode("utf-32-le", "surrogatepass"), "<u4")
+        at = end
+        new = _symbols(points, bool(tail[-1] != _MARK))
+        if at == len(text) and len(new) and new[-1] != _MARK:
+            new = np.append(new, np.uint64(_MARK))
+        elif at == len(text) and not len(new) and tail[-1] != _MARK:
+            new = np.array([_MARK], np.uint64)
+        if not len(new):
+            continue
+        c, n = _grams(tail, new)
+        tail = np.concatenate([tail, new])[-2:]
         codes.append(c)
         counts.append(n)
         if len(codes) == 8:
             codes, counts = ([x] for x in _summed(codes, counts))
-        at = end
-    return _summed(codes, counts)
+    if not codes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return (codes[0], counts[0]) if len(codes) == 1 else _summed(codes, counts)
 
 
 def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,25 +109,33 @@ def ranked(codes: np.ndarray, counts: np.ndarray, top: int = TOP) -> np.ndarray:
 
 
 class Profiles:
-    """Ranked n-grams of each language as one table of ranks."""
+    """Ranked n-grams of each language, by n-gram: which languages have it, and at which rank. As large as the profiles are."""
 
     def __init__(self, profiles: dict[str, np.ndarray], top: int = TOP) -> None:
         self.top, self.langs = top, sorted(profiles)
-        self.known = np.unique(np.concatenate([profiles[k] for k in self.langs])) if self.langs else np.empty(0, np.uint64)
-        self.ranks = np.full((len(self.langs), len(self.known) + 1), -1, np.int32)  # the last column: in no profile
-        for i, lang in enumerate(self.langs):
-            self.ranks[i, np.searchsorted(self.known, profiles[lang])] = np.arange(len(profiles[lang]))
+        codes = [profiles[k] for k in self.langs]
+        flat = np.concatenate(codes) if codes else np.empty(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.known, starts = np.unique(flat[order], return_index=True)
+        self.starts = np.append(starts, len(flat))
+        self.owner = np.repeat(np.arange(len(codes), dtype=np.int32), [len(c) for c in codes])[order]
+        self.rank = np.concatenate([np.arange(len(c), dtype=np.int32) for c in codes])[order] if codes else np.empty(0, np.int32)
+
+    def distances(self, codes: np.ndarray) -> np.ndarray:
+        """How far the ranked n-grams ``codes`` are out of place in each language: ``top`` for one that its profile lacks."""
+        at = np.searchsorted(self.known, codes)
+        hit = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] == codes) if len(self.known) else np.empty(0, np.int64)
+        lo, n = self.starts[at[hit]], self.starts[at[hit] + 1] - self.starts[at[hit]]
+        found = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+        nearer = self.top - np.abs(self.rank[found] - np.repeat(hit, n))
+        return self.top * len(codes) - np.bincount(self.owner[found], nearer, len(self.langs)).astype(np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and 1 - distance / largest possible distance; ("und", 0) if there is no letter or nothing was learned."""
         codes = ranked(*count_grams(text), self.top)
         if not len(codes) or not self.langs:
             return "und", 0.0
-        at = np.searchsorted(self.known, codes)
-        at[(at == len(self.known)) | (self.known[np.minimum(at, len(self.known) - 1)] != codes)] = len(self.known)
-        ranks = self.ranks[:, at]
-        far = np.where(ranks < 0, self.top, np.abs(ranks - np.arange(len(codes), dtype=np.int32)))
-        distance = far.sum(1)
+        distance = self.distances(codes)
         best = int(distance.argmin())  # languages are sorted: ties go to the first by code point
         return self.langs[best], float(1 - distance[best] / (self.top * len(codes)))
 
@@ -112,13 +145,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
-    """Profiles from text and non-null lang of documents that aren't held out, at most about ``train_docs`` of each language."""
+    """Profiles from text and non-null lang of documents that aren't held out, at most about ``train_docs`` of each language.
+
+    All languages are learned; their profiles, ``top`` rows each, come to the driver and go to the executors as one broadcast.
+    """
     arrow(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = written(share.select(F.col("lang").alias("_lang"), (F.lit(float(train_docs)) / F.col("n")).alias("share")), "language-shares")
-    picked = rows.join(small_side(share, MAX_LANGUAGES), F.col("lang") == F.col("_lang"))
+    picked = rows.join(small_side(share, share.count()), F.col("lang") == F.col("_lang"))
     picked = picked.filter(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
 
     def run(batches):
@@ -152,9 +188,11 @@ def predicted(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_
     code point; an empty table gives no rows; repeated rows and null ids (not held out) stay; other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text"))
+    arrow(docs.sparkSession)
+    learned = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(ids: list, held: list, texts: list) -> dict:
-        got = [profiles.predict(t) for t in texts]
+        got = [learned.value.predict(t) for t in texts]
         return {"doc_id": ids, "held_out": held, "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
 
     return map_rows(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")

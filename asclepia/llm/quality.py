@@ -4,21 +4,21 @@ Both models are distributions over ``BUCKETS`` hash buckets of words, punctuatio
 model counts all documents; the target model counts the documents labelled good in a bounded sample of the labelled rows. A document's
 log weight is the sum, over its n-grams, of log p_target - log p_raw. Sampling k documents without replacement in proportion to the weights is
 taking the k largest of log weight + Gumbel noise. k is how many documents weigh at least the value that best parts good
-from bad in the labelled sample, so what is not taken is what the classifier rejects.
+from bad in labelled documents that the target model has not seen, so what is not taken is what the classifier rejects.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asclepia.llm._base import arrow, at_rest, located, small_side, written
 from asclepia.llm._hashing import mix, word_hashes
 
 BUCKETS = 1 << 14
-#: The model of good text and the threshold are fitted on about this many labelled documents at most.
+#: The model of good text is fitted on about half as many labelled documents at most, the threshold on the other half.
 MAX_LABELLED = 20_000
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 
@@ -38,22 +38,27 @@ def buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_sample(labels: DataFrame, most: int = MAX_LABELLED) -> tuple[DataFrame, int]:
-    """About ``most`` rows of doc_id, good at most, picked by a hash of the id; of several labels of one id the best counts."""
+    """About ``most`` rows of doc_id, good and model at most, picked by a hash of the id; of several labels of one id the best counts.
+
+    ``model`` halves them by another hash: true for the target model, false for the threshold.
+    """
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("quality"))
     n = rows.count()
     picked = rows.filter(F.pmod(F.xxhash64("_id", F.lit("quality")), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30)))
-    picked = written(picked.groupBy("_id").agg((F.max("quality") > 0).alias("good")), "quality-labels")
+    picked = picked.groupBy("_id").agg((F.max("quality") > 0).alias("good")).withColumn("model", F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)) == 0)
+    picked = written(picked, "quality-labels")
     return picked, picked.count()
 
 
 def weighed(docs: DataFrame, labels: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MAX_LABELLED) -> DataFrame:
-    """A written table: doc_id, log_weight, gumbel_key, good (the label if in the sample), _file, _row."""
+    """A written table: id, log_weight, gumbel_key, good (the label, of the sample's half for the threshold), _file, _row."""
     spark = docs.sparkSession
     arrow(spark)
     docs = at_rest(docs)
     sample, n_sample = labelled_sample(labels, most_labelled)
     rows = located(docs, {"id": F.col(id_col).cast("long"), "text": F.col(text_col)})
     rows = rows.join(small_side(sample, n_sample), F.col("id") == F.col("_id"), "left").drop("_id")
+    rows = rows.select("id", "text", (F.col("good") & F.col("model")).alias("target"), F.when(~F.col("model"), F.col("good")).alias("good"), "_file", "_row")
 
     def count(batches):
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -65,7 +70,7 @@ def weighed(docs: DataFrame, labels: DataFrame, seed: int = 11, id_col: str = "d
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
-    counted = rows.select("text", "good").mapInArrow(count, "bucket long, raw long, target long")
+    counted = rows.select("text", "target").mapInArrow(count, "bucket long, raw long, target long")
     table = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows at most
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)  # add-one smoothing
     for b, r, t in table:
@@ -89,12 +94,13 @@ def weighed(docs: DataFrame, labels: DataFrame, seed: int = 11, id_col: str = "d
     return written(rows.mapInArrow(weigh, "id long, log_weight double, gumbel_key double, good boolean, _file string, _row long"), "quality-weights")
 
 
-def threshold(scores: DataFrame, most: int = MAX_LABELLED) -> float:
-    """The log weight from which the bounded labelled sample counts as good: fewest rows misjudged.
+def threshold(scores: DataFrame) -> float:
+    """The log weight from which the labelled sample counts as good: fewest documents misjudged.
 
-    Of all cuts that are best, the middle of the widest gap is taken; without both kinds of labels everything passes.
+    Of several rows with one id the heaviest counts, so that as many rows come to the driver as the sample has at most. Of all
+    cuts that are best, the middle of the widest gap is taken; without both kinds of labels everything passes.
     """
-    rows = scores.filter("good IS NOT NULL").select("log_weight", "good").limit(4 * most).toPandas().sort_values("log_weight")
+    rows = scores.filter("good IS NOT NULL").groupBy("id").agg(F.max("log_weight").alias("log_weight"), F.first("good").alias("good")).toPandas().sort_values("log_weight")
     good = rows["good"].to_numpy(bool)
     if not good.any() or good.all():
         return float("-inf")
@@ -113,45 +119,54 @@ def threshold(scores: DataFrame, most: int = MAX_LABELLED) -> float:
     return float((edges[i] + edges[i + 1]) / 2)
 
 
+def _kth(rows: DataFrame, k: int, key: Column) -> tuple[object, int]:
+    """The k-th largest ``key`` of ``rows`` and how many rows are above it, from counts in ever finer ranges."""
+    rows = rows.select(key.alias("k"))
+    low, high = rows.agg(F.min("k"), F.max("k")).first()
+    above = 0
+    while low < high:
+        width = (float(high) - float(low)) / STEPS
+        inside = rows.filter(F.col("k").between(low, high))
+        bucket = F.least(F.floor((F.col("k").cast("double") - float(low)) / width), F.lit(STEPS - 1)) if width > 0 else F.lit(0)
+        counts = inside.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)), F.min("k"), F.max("k")).orderBy(F.desc("b")).collect()
+        if len(counts) == 1:  # values that are too near for the buckets: by value
+            counts = [(0, n, v, v) for v, n in inside.groupBy("k").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).limit(STEPS).select("k", "n").collect()]
+        for _, n, least, most in counts:
+            if above + n >= k:
+                low, high = least, most
+                break
+            above += n
+        else:
+            high = counts[-1][2]  # go on below
+            rows = rows.filter(F.col("k") < high)
+            high = rows.agg(F.max("k")).first()[0]
+    return low, above
+
+
+#: Ranges of one round of counting.
+STEPS = 1_024
+
+
 def largest(scores: DataFrame, k: int, key: str = "gumbel_key") -> DataFrame:
-    """``scores`` with taken: whether a row is one of the ``k`` with the largest ``key`` (ties: smaller id, then place).
+    """``scores`` with taken: whether a row is one of the ``k`` with the largest ``key`` (ties: smaller id, null first, then row in the file, then file).
 
     The k-th key is found by counting rows in ever finer ranges, each count a map-side aggregation; nothing is sorted
-    as a whole. Rows that tie with the k-th key exactly are ranked among themselves.
+    as a whole. Rows that tie with it are counted in the same way by id, and those that tie again by their row in the file.
     """
-    n, low, high = scores.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
-    if k >= n:
-        return scores.withColumn("taken", F.lit(True))
-    if k <= 0:
-        return scores.withColumn("taken", F.lit(False))
-    above, steps = 0, 1024
-    while True:
-        width = (high - low) / steps
-        inside = scores.filter(F.col(key).between(low, high))
-        if not width > abs(high) * 1e-15 or inside.count() <= 10_000:
-            break
-        bucket = F.least(F.floor((F.col(key) - low) / width), F.lit(steps - 1)).alias("b")
-        found = False
-        for b, m, least, most in inside.groupBy(bucket).agg(F.count(F.lit(1)), F.min(key), F.max(key)).orderBy(F.desc("b")).collect():
-            if above + m >= k:
-                low, high, found = least, most, True
-                break
-            above += m
-        if not found or low == high:
-            break
-    rest = k - above
-    tied = inside.filter(F.col(key).between(low, high)).orderBy(F.desc(key), F.asc_nulls_first("id"), "_row", "_file").limit(rest)
-    last = tied.select(key, "id", "_row", "_file").collect()[-1] if rest <= 10_000 else None
-    if last is None:  # more exact ties than that: rank them apart
-        chosen = tied.select(F.col("_file").alias("_f"), F.col("_row").alias("_r"), F.lit(True).alias("among"))
-        out = scores.join(chosen, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")), "left").drop("_f", "_r")
-        return out.withColumn("taken", (F.col(key) > high) | F.coalesce("among", F.lit(False))).drop("among")
-    least_id = -(1 << 63)
-    kinds = ("double", "long", "long", "string")
-    values = (-last[0], least_id if last[1] is None else last[1], last[2], last[3])
-    at = F.struct((-F.col(key)).alias("a"), F.coalesce("id", F.lit(least_id)).alias("b"), F.col("_row").alias("c"), F.col("_file").alias("d"))
-    bound = F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in zip("abcd", values, kinds, strict=True)])
-    return scores.withColumn("taken", at <= bound)
+    n = scores.count()
+    if k >= n or k <= 0:
+        return scores.withColumn("taken", F.lit(k > 0))
+    keys = [F.col(key), -F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(-(1 << 63)).cast("decimal(20,0)")), -F.col("_row")]
+    taken, rows, left = F.lit(False), scores, k
+    tied = F.lit(True)
+    for by in keys:
+        value, above = _kth(rows, left, by)
+        bound = F.lit(value)
+        taken, tied, left = taken | (tied & (by > bound)), tied & (by == bound), left - above
+        rows = scores.filter(tied)
+    # Rows of one key, id and row number are in different files: no more than there are files.
+    last = rows.select("_file").orderBy("_file").limit(left).agg(F.max("_file")).first()[0]
+    return scores.withColumn("taken", taken | (tied & (F.col("_file") <= F.lit(last))))
 
 
 def classified(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -5,10 +5,13 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,18 +189,48 @@ def test_language(edge, empty, spark):
     assert language_id.identified(empty).count() == 0
 
 
-def test_language_grams_by_brute_force(monkeypatch):
-    text = "Über den Fluß, l'été ... 123 straße\n" * 9
-    want = Counter()
-    for word in re.findall(r"[^\W\d_]+", text.lower()):
+def grams_reference(text):
+    out = Counter()
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
         w = [1, *map(ord, word), 1]
         for i in range(len(w)):
-            want.update([w[i]] * (w[i] != 1))
-            want.update([w[i] << 21 | w[i + 1]] if i + 1 < len(w) else [])
-            want.update([w[i] << 42 | w[i + 1] << 21 | w[i + 2]] if i + 2 < len(w) else [])
-    assert dict(zip(*(x.tolist() for x in language_id.count_grams(text)), strict=True)) == dict(want)
-    monkeypatch.setattr(language_id, "PIECE", 20)
-    assert dict(zip(*(x.tolist() for x in language_id.count_grams(text)), strict=True)) == dict(want)
+            out.update([w[i]] * (w[i] != 1))
+            out.update([w[i] << 21 | w[i + 1]] if i + 1 < len(w) else [])
+            out.update([w[i] << 42 | w[i + 1] << 21 | w[i + 2]] if i + 2 < len(w) else [])
+    return out
+
+
+def grams_of(text):
+    return dict(zip(*(x.tolist() for x in language_id.count_grams(text)), strict=True))
+
+
+def test_language_grams_by_brute_force(monkeypatch):
+    texts = ["Über den Fluß, l'été ... 123 straße\n" * 9, "", " 12 ", "x", "wordwithoutend" * 40, "ΑΣ ΣΑΣ'Σ" * 9, "ΑΣΑΣ" * 30, " a", "a ", "ab1cd", None]
+    for piece in (1 << 20, 20, 7, 1):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        for text in texts:
+            assert grams_of(text) == dict(grams_reference(text)), (piece, text)
+
+
+def test_language_distance_by_brute_force(spark):
+    """Profiles, distances, ties and scores in plain Python, on more languages than a thousand."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    more = [(10_000 + k, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{x}" for x in ("ba", "ro", "ti")), f"x{k:04}") for k in range(1_100)]
+    rows = [tuple(r) for r in docs] + more + [(20_000, "aa bb", "tie2"), (20_001, "aa bb", "tie1"), (20_002, "aa bb", None)]
+    got = {r.doc_id: r for r in language_id.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), top=50).collect()}
+    learned = {}
+    for i, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned.setdefault(lang, Counter()).update(grams_reference(text))
+    rank = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:50]]
+    places = {lang: {g: k for k, g in enumerate(rank(c))} for lang, c in learned.items()}
+    assert len(places) > 800
+    for i, text, _ in rows[:60] + rows[-23:]:
+        own = rank(grams_reference(text))
+        far = {lang: sum(abs(p[g] - k) if g in p else 50 for k, g in enumerate(own)) for lang, p in places.items()}
+        best = min(far.items(), key=lambda x: (x[1], x[0])) if own else ("und", 0)
+        assert got[i].lang_pred == best[0]
+        assert abs(got[i].score - (1 - best[1] / (50 * len(own)) if own else 0)) < 1e-12
 
 
 # 4. Token files.
@@ -249,47 +282,80 @@ def random_texts(n, seed=3):
 def test_chunked_encoding():
     texts = [*random_texts(3000), None, "", " ", "\0", " \0 \0", "\0a b"]
     want = [e.ids for e in tokenizer("byte_bpe_50k.json").encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    assert [x.tolist() for x in encode_texts("byte_bpe_50k.json", texts)] == want
+    assert [x.tolist() for x in encode_texts("byte_bpe_50k.json", pa.array(texts))] == want
 
 
-def test_chunk_memory_is_bounded():
+@pytest.mark.parametrize("most,most_chars", [(30, 1 << 20), (1 << 20, 60)])
+def test_chunk_memory_is_bounded(most, most_chars):
     from asclepia.llm._tokenizers import Chunks
 
-    chunks = Chunks(lambda cs: [[ord(x) for x in c] for c in cs], most=30)
+    chunks = Chunks(lambda cs: (np.array([ord(x) for c in cs for x in c], np.uint32), np.array([len(c) for c in cs])), most=most, most_chars=most_chars)
     for k in range(20):
-        words = [f"w{(k * 7 + i) % 60}" for i in range(25)]
+        words = [f"w{(k * 7 + i) % 60}" for i in range(25)] + ["x" * 100]
         n = chunks.numbers(words)
-        chunks.learn()
-        assert chunks.ids(n).tolist() == [ord(x) for w in words for x in w]
-        chunks.note([n])
+        assert chunks.values(n).tolist() == [ord(x) for w in words for x in w]
         chunks.trim()
-        assert len(chunks) <= 30
+        assert len(chunks) <= most and chunks.chars <= most_chars == sum(map(len, chunks)) or chunks.chars == sum(map(len, chunks)) <= most_chars
+    assert len(chunks) > 0
 
 
 # 5. WARC.
 
 
-def test_warc(spark, tmp_path):
-    rows = [(3, "u3", "<p>é</p>"), (1, "u1", "<p>é</p>"), (2, "u\r\n2", None), (5, None, ""), (None, "u", "<p>é</p>"), (7, "u7", "x" * 300_000), (7, "u7", "x" * 300_000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1))
-    warc.write_archive(pages, str(tmp_path))
+@pytest.mark.parametrize("hot", [1, 1_000])
+def test_warc(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(_base, "LUKEWARM", hot)
+    rows = [(3, "u3", "<p>é</p>"), (1, "u1", "<p>é</p>"), (2, "u\r\n2", None), (5, None, ""), (None, "u", "<p>é</p>"), (7, "u7", "x" * 300_000), (7, "u7", "x" * 300_000), (9, "", "WARC-Type: x\r\n\r\nWARC/1.1\r\n"), (10, " ü ", "\0")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("key", "payload", "records", "id", "date", "bytes")})
+    warc.write_archive(pages, str(tmp_path), date=F.when(F.col("page_id") > 2, F.lit("2020-02-03T04:05:06Z")))
     got = warc.read_archive(spark, str(tmp_path)).withColumn("record", warc.record_bytes()).collect()
-    assert len(got) == len(rows)
+    assert sorted((str(r.page_id), str(r.url)) for r in got) == sorted((str(i), str(u)) for i, u, _ in rows)
     for r in got:
         body = next((h or "").encode() for i, _, h in rows if i == r.page_id)
         assert bytes(r.payload) == body and r.payload_bytes == len(body)
         assert r.payload_digest == base64.b32encode(hashlib.sha1(body).digest()).decode()
         record = bytes(r.record)
-        assert record.startswith(bytes(r.header)) and record.endswith(b"\r\n\r\n")
-        length = int(re.search(rb"Content-Length: (\d+)", record)[1])
-        assert len(record) == len(r.header) + length + 4
+        assert record.startswith(bytes(r.header))
+        ((fields, block),) = warc.records_of(record)
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "Content-Length"} <= fields.keys()
+        assert fields["WARC-Date"] == ("2020-02-03T04:05:06Z" if (r.page_id or 0) > 2 else warc.DATE)
+        http, _, payload = block.partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK") and payload == (b"" if r.record_type == "revisit" else body)
+    named = {warc_id(r): r.page_id for r in got}
+    assert all(named[dict(f for f in header_fields(r))["WARC-Refers-To"]] == r.refers_to for r in got if r.record_type == "revisit")
     kinds = {(r.page_id, r.record_type, r.refers_to) for r in got}
-    assert kinds == {(1, "response", None), (3, "revisit", 1), (None, "revisit", 1), (2, "response", None), (5, "revisit", 2), (7, "response", None)}
-    assert spark.read.parquet(f"{tmp_path}/payloads").count() == 3
+    assert kinds == {(1, "response", None), (3, "revisit", 1), (None, "revisit", 1), (2, "response", None), (5, "revisit", 2), (7, "response", None), (9, "response", None), (10, "response", None)}
+    assert spark.read.parquet(f"{tmp_path}/payloads").count() == 5
     assert all(r.record_type == "response" for r in warc.archived(pages, least=1_000_000).collect())
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def header_fields(r):
+    return [line.partition(": ")[::2] for line in bytes(r.header).decode().split("\r\n")]
+
+
+def warc_id(r):
+    return dict(header_fields(r))["WARC-Record-ID"]
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_warc_files(spark, tmp_path, compressed):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    records = warc.archived(pages).repartition(3)
+    files = warc.export_warc(records, f"{tmp_path}/files", compressed).collect()
+    assert sum(f.records for f in files) == pages.count() and all((tmp_path / "files" / f.path.rsplit("/", 1)[1]).stat().st_size == f.bytes for f in files)
+    payloads, pages_of = {}, {}
+    for f in files:
+        for fields, block in warc.records_of((tmp_path / "files" / f.path.rsplit("/", 1)[1]).read_bytes()):
+            pages_of[int(fields["X-Page-ID"])] = fields
+            if fields["WARC-Type"] == "response":
+                payloads[fields["WARC-Record-ID"]] = block.partition(b"\r\n\r\n")[2]
+    for r in pages.collect():
+        fields = pages_of[r.page_id]
+        assert payloads[fields.get("WARC-Refers-To", fields["WARC-Record-ID"])] == (r.html or "").encode()
+        assert r.url is None or fields["WARC-Target-URI"] == r.url
+
+
 def test_warc_finds_damage(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string")
     warc.write_archive(pages, f"{tmp_path}/a")
@@ -303,6 +369,11 @@ def test_warc_finds_damage(spark, tmp_path):
 # 6. Token counts.
 
 
+def library_counts(text, t=None):
+    """Tokens of the first 0, 1, 2, ... characters, each prefix encoded by the library."""
+    return [len(e.ids) for e in (t or tokenizer("word_bpe_49k.json")).encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
+
+
 def test_counts(edge, docs, empty):
     t = tokenizer("word_bpe_49k.json")
     for df in (edge, docs):
@@ -310,18 +381,57 @@ def test_counts(edge, docs, empty):
         got = token_counts.token_counts(df, with_prefixes=True, limit=10).collect()
         want = sorted((str(r.doc_id), len((r.text or "").encode()), len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in rows)
         assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == want
-        assert all(r.over_limit == (r.n_tokens > 10) and (r.prefix_counts or [0])[-1] == r.n_tokens for r in got)
+        assert all(r.over_limit == (r.n_tokens > 10) and token_counts.counts_of(r.prefixes)[-1] == r.n_tokens for r in got)
     assert token_counts.token_counts(empty).count() == 0
 
 
-def test_prefixes():
-    t = tokenizer("word_bpe_49k.json")
-    for text in [*random_texts(60), "Hello,  WORLD's 123 thtiblé x"]:
-        counts = [len(e.ids) for e in t.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
-        p = token_counts.PrefixCounts(text)
-        assert [p.count(k) for k in range(len(text) + 1)] == counts and p.count() == counts[-1]
-        for budget in range(counts[-1] + 2):
-            assert counts[p.longest(budget)] <= budget
+def test_every_prefix():
+    """Of odd texts and of one of the corpus, the count at each prefix is the library's; each budget's answer is the longest prefix within it."""
+    rnd = random.Random(3)
+    alphabet = ["a", "the", "ing", "A", " ", "  ", "\n", " \n", "'s", "'", "'re", "'r", "e\u0301", "\u0301", "\u00df", "\u4e2d", "12", "!", "<|endoftext|>", "<|end", "\0", "\x1c", "\xa0", "\u2028", "\u0130", "\u03a3", "\u0391\u03a3", "\u1100", "\u1161", "\u11a8", "\u0308", "o\u0323\u0302", "\u00bd", "\ufb01", "\u200d", "\u2126", "\u01c6", "\U0001f44d\U0001f3fd", "_", "\x85", "\u3000"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
+    texts += [None, "", " ", "Hello,  WORLD's 123 thtibl\u00e9 x", "'re're're 'r don't we'll", "<|startoftext|><|endoftext|>!<|endoftext|", *random_texts(60)]
+    tables, totals = token_counts.prefixes_of(pa.array(texts))
+    for text, table, total in zip(texts, tables, totals, strict=True):
+        counts = library_counts(text or "")
+        assert token_counts.counts_of(table).tolist() == counts and total == counts[-1], text
+        for budget in {0, 1, total // 2, total, total + 1}:
+            assert token_counts.longest_within(table, budget) == max(k for k, n in enumerate(counts) if n <= budget)
+
+
+def test_prefixes_of_long_words():
+    for text in ("x" * 50_000, "\u00e9" * 20_000, "e\u0301" * 5_000, "\u4e2d" * 20_000, "!?" * 20_000, "abc" * 10_000 + " \u0130" * 3_000):
+        (table,), (total,) = token_counts.prefixes_of(pa.array([text]))
+        counts = token_counts.counts_of(table)
+        t = tokenizer("word_bpe_49k.json")
+        assert total == len(t.encode(text, add_special_tokens=False).ids) and len(counts) == len(text) + 1
+        for k in (1, 31, 32, 33, 100, len(text) // 2, len(text) // 2 + 1, len(text) - 1):
+            assert counts[k] == len(t.encode(text[:k], add_special_tokens=False).ids)
+
+
+def test_a_word_that_the_library_counts_otherwise(monkeypatch):
+    """Then the library counts each of its prefixes."""
+    words = token_counts.Words("word_bpe_49k.json")
+    monkeypatch.setattr(words, "_sorted_counts", lambda ws: [[99] * len(w) for w in ws])
+    changes, sizes = words.learn(["hello", "thtibl"])
+    assert changes.cumsum()[:5].tolist() == library_counts("hello")[1:] and sizes.tolist() == [5, 6]
+
+
+def test_budget_questions(edge, docs, empty):
+    """Truncation and budgets from the stored table, against the library."""
+    for df in (edge, docs.filter("n_chars < 3000").limit(40)):
+        stored = token_counts.written(token_counts.prefix_table(df, with_text=True), "prefixes")
+        texts = Counter((str(r.doc_id), r.text or "") for r in df.select("doc_id", "text").collect())
+        want = Counter()
+        for (i, x), n in texts.items():
+            counts = library_counts(x)
+            k = max(j for j, c in enumerate(counts) if c <= 7)
+            want[i, k, counts[k], x[:k]] += n
+        assert Counter((str(r.doc_id), r.chars, r.n_tokens, r.text) for r in token_counts.truncated(stored, 7).collect()) == want
+        for r in token_counts.fits(stored, [-1, 0, 7, 1 << 40]).collect():
+            assert r.fits[0] is False and r.fits[3] is True and r.chars[0] == -1 and r.chars[2] <= r.chars[3]
+        assert all(r.chars is None and r.text is None for r in token_counts.truncated(stored, -1).collect())
+    assert token_counts.truncated(token_counts.prefix_table(empty, with_text=True), 3).count() == 0
 
 
 # 7. Quality.
@@ -340,6 +450,61 @@ def test_quality(spark, edge, empty):
     assert quality.classified(edge, spark.createDataFrame([(1, 1, 0), (1, 0, 0), (8, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")).count() == len(ROWS)
 
 
+def ngram_buckets(text):
+    """Buckets of a text's words, punctuation runs and pairs of neighbours, in plain Python."""
+    word = 0xFFFFFFFFFFFFFFFF
+
+    def spread(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & word
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & word
+        return h ^ h >> 31
+
+    def one(w):
+        return spread((sum((b + 1) * pow(0x9E3779B97F4A7C15, j, 1 << 64) for j, b in enumerate(w)) + len(w)) & word)
+
+    ws = [one(w) for w in re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[!-/:-@\[-^`{-~]+", (text or "").encode())]
+    return Counter(h % quality.BUCKETS for h in [*ws, *(spread(a * 0x9FB21C651E98DF25 + b & word) for a, b in zip(ws, ws[1:]))])
+
+
+def test_quality_by_brute_force(spark):
+    """Both models, each weight, the threshold and what is kept."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    sample = {r._id: (r.good, r.model) for r in quality.labelled_sample(labels)[0].collect()}
+    grams = {i: ngram_buckets(t) for i, t in rows.items()}
+    raw, target = Counter(range(quality.BUCKETS)), Counter(range(quality.BUCKETS))
+    for i, g in grams.items():
+        raw.update(g)
+        if sample.get(i) == (True, True):
+            target.update(g)
+    weight = {i: sum(n * (math.log(target[b] / target.total()) - math.log(raw[b] / raw.total())) for b, n in g.items()) for i, g in grams.items()}
+    got = {r.doc_id: r for r in quality.classified(docs, labels).collect()}
+    assert all(abs(got[i].log_weight - w) < 1e-6 * (1 + abs(w)) for i, w in weight.items())
+    judged = [(weight[i], good) for i, (good, model) in sample.items() if not model and i in weight]
+    errors = lambda cut: sum((w >= cut) != good for w, good in judged)
+    cut = quality.threshold(quality.weighed(docs, labels))
+    assert errors(cut) == min(map(errors, [-math.inf, math.inf, *(w + 1e-9 for w, _ in judged)]))
+    k = sum(w >= cut for w in weight.values())
+    assert {i for i, r in got.items() if r.kept} == set(sorted(got, key=lambda i: (-got[i].gumbel_key, i))[:k])
+
+
+def test_quality_on_unseen_labels(spark):
+    """Labelled documents that neither the model nor the threshold saw."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    seen = {r._id for r in quality.labelled_sample(labels, 1_500)[0].collect()}
+    unseen = [r for r in quality.classified(docs, labels, most_labelled=1_500).join(labels, "doc_id").collect() if r.doc_id not in seen]
+    good, bad = [r for r in unseen if r.quality == 1], [r for r in unseen if r.quality == 0]
+    assert len(seen) < 1_700 and len(unseen) > 1_500
+    assert sum(r.kept for r in good) / len(good) > 0.98 and sum(r.kept for r in bad) / len(bad) < 0.1
+
+
+def test_threshold_counts_each_id_once(spark):
+    """More rows than the sample has ids; a label that repeats doesn't move the cut."""
+    rows = [(i, float(i), i >= 50) for i in range(100)] + [(10, 80.0, False)] * 500 + [(90, 1.0, True)] * 500
+    scores = spark.createDataFrame([(i, w, g, "f", k) for k, (i, w, g) in enumerate(rows)], "id long, log_weight double, good boolean, _file string, _row long")
+    assert 49 < quality.threshold(scores) <= 50
+
+
 def test_quality_buckets():
     texts = ["a b!! c", None, "", "a b!! c", "x" * 10]
     codes, at = quality.buckets(texts)
@@ -351,11 +516,22 @@ def test_quality_buckets():
 def test_largest(spark, n, k):
     ties = n == 40_000
     rows = spark.range(n).select("id", (F.lit(1.0) if ties else F.rand(1)).alias("gumbel_key"), F.lit("f").alias("_file"), F.col("id").alias("_row"))
+    rows = quality.written(rows, "largest")
     got = quality.largest(rows, k).filter("taken")
     order = sorted(((-r.gumbel_key, r.id) for r in rows.collect()))[:k]
     assert sorted(r.id for r in got.collect()) == sorted(i for _, i in order)
 
 
+def test_largest_among_equal_rows(spark):
+    """Ties of key, id and row number: null ids first, then small ids; values too near for a range."""
+    ids = [None] * 3 + [(1 << 62) + i // 4 for i in range(4_000)] + [-(1 << 63)] * 2
+    rows = spark.createDataFrame([(i, 0.5, f"f{n % 7}", n // 7) for n, i in enumerate(ids)], "id long, gumbel_key double, _file string, _row long")
+    order = sorted(rows.collect(), key=lambda r: (-(1 << 63) if r.id is None else r.id, r._row, r._file))
+    for k in (1, 2, 4, 6, 1_237, 4_004):
+        got = quality.largest(rows, k).filter("taken").collect()
+        assert sorted((r._file, r._row) for r in got) == sorted((r._file, r._row) for r in order[:k])
+
+
 def test_hashing_windows(monkeypatch):
     import asclepia.llm._hashing as h
 
@@ -398,6 +574,145 @@ def test_media_damage():
     assert s.seek(0) == s.offsets[0] and s.seek(s.duration) == s.offsets[-1]
 
 
+def test_media_payload_that_looks_like_tags():
+    """TAG or APETAGEX where such tags would begin, but inside the last frame."""
+    room = media_mpeg.KBITS_1[-1] * 9 // 2 - media_mpeg.HEAD
+    for mark, back in ((b"TAG", 128), (b"APETAGEX" + struct.pack("<4I", 2000, 64, 1, 0) + b"\0" * 8, 32)):
+        payload = bytearray(b"x" * room * 3)
+        payload[len(payload) - back : len(payload) - back + len(mark)] = mark
+        media = media_mpeg.encode(bytes(payload))
+        assert media[-back:].startswith(mark) and media_mpeg.payload_of(media) == bytes(payload)
+
+
+def bare_header(version, layer, index, rate, padding=0, mode=0, extension=0, protected=False):
+    return bytes([0xFF, 0xE0 | version << 3 | (4 - layer) << 1 | (not protected), index << 4 | rate << 2 | padding << 1, mode << 6 | extension << 4])
+
+
+def bare_frame(*a, **k):
+    head = bare_header(*a, **k)
+    return head + bytes(media_mpeg.header(head).length - 4)
+
+
+def test_media_layers_and_rates():
+    """Lengths and samples of the standard's formulas for every version, layer, bit rate and sampling rate; exact durations over changing rates."""
+    for version in (3, 2, 0):
+        for layer in (1, 2, 3):
+            for index in range(1, 15):
+                for rate in range(3):
+                    for padding in (0, 1):
+                        h = media_mpeg.header(bare_header(version, layer, index, rate, padding))
+                        samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
+                        slot = 4 if layer == 1 else 1
+                        assert h.samples == samples and h.length == (samples * h.kbits * 1000 // 8 // slot // h.rate + padding) * slot
+                        assert h.rate == (44100, 48000, 32000)[rate] // {3: 1, 2: 2, 0: 4}[version]
+    kinds = [(3, 3, 9, 0), (3, 3, 9, 1), (2, 3, 5, 2), (3, 1, 4, 0), (0, 2, 6, 1)]
+    frames = [bare_frame(*k) for k in kinds for _ in range(7)]
+    s = media_mpeg.parse(b"".join(frames))
+    assert s.skipped == 0 and s.lengths == [len(f) for f in frames]
+    want = sum(Fraction(media_mpeg.header(f[:4]).samples, media_mpeg.header(f[:4]).rate) for f in frames)
+    assert s.duration == want and len(s.kinds) == 4
+    assert s.seek(Fraction(1152, 44100) * 7) == s.offsets[7] and s.seek(s.duration - Fraction(1, 10**6)) == s.offsets[-1] and s.seek(-1) == s.offsets[0]
+
+
+@pytest.mark.parametrize("mode,extension", [(0, 0), (1, 0), (1, 2), (3, 0)])
+def test_media_checksums(mode, extension):
+    """Of all layers, against a bitwise remainder over the bits that the standard names."""
+    def remainder(bits):
+        crc = 0xFFFF
+        for b in bits:
+            crc = (crc << 1 ^ (0x8005 if (crc >> 15) ^ b else 0)) & 0xFFFF
+        return crc
+
+    rnd, channels = random.Random(mode * 4 + extension), 1 if mode == 3 else 2
+    bound = (extension + 1) * 4 if mode == 1 else 32
+    bits_of = lambda x: [b >> (7 - i) & 1 for b in x for i in range(8)]
+    cases = [(3, 1, 9, 0), (2, 1, 5, 1), (3, 3, 9, 0), (2, 3, 8, 0)]
+    # Layer II: MPEG version, bit rate index, rate index, and the allocation's bits for each subband.
+    tables = [(3, 10, 0, [4] * 11 + [3] * 12 + [2] * 7), (3, 4, 0, [4] * 11 + [3] * 12 + [2] * 4) if mode == 3 else (3, 9, 0, [4] * 11 + [3] * 12 + [2] * 4), (3, 1 if mode == 3 else 2, 0, [4] * 2 + [3] * 6), (3, 1 if mode == 3 else 2, 2, [4] * 2 + [3] * 10), (2, 8, 0, [4] * 4 + [3] * 7 + [2] * 19)]
+    frames = []
+    for version, layer, index, rate, *bands in [*cases, *((v, 2, i, r, b) for v, i, r, b in tables)]:
+        head = bare_header(version, layer, index, rate, mode=mode, extension=extension, protected=True)
+        h = media_mpeg.header(head)
+        body = bytes(rnd.randrange(256) for _ in range(h.length - 6))
+        if layer == 3:
+            n = 8 * ((17 if mode == 3 else 32) if version == 3 else (9 if mode == 3 else 17))
+        elif layer == 1:
+            n = 4 * (channels * min(bound, 32) + 32 - min(bound, 32))
+        else:
+            bits, n, chosen = bits_of(body), 0, 0
+            for band, size in enumerate(bands[0]):
+                for _ in range(channels if band < bound else 1):
+                    chosen += any(bits[n : n + size]) * (channels if band >= bound else 1)
+                    n += size
+            n += 2 * chosen
+        crc = remainder(bits_of(head[2:4]) + bits_of(body)[:n])
+        frames.append(head + struct.pack(">H", crc) + body)
+    s = media_mpeg.parse(b"".join(frames))
+    assert len(s.offsets) == s.checked == len(frames) and s.damaged == []
+    flipped = [f[:7] + bytes([f[7] ^ 0x10]) + f[8:] for f in frames]
+    assert len(media_mpeg.parse(b"".join(flipped)).damaged) == len(frames)
+
+
+def test_media_free_format():
+    frames = [bare_header(3, 3, 0, 0, padding=k % 2) + bytes(700 + k % 2) for k in range(9)]
+    s = media_mpeg.parse(b"".join(frames) + b"TAG" + bytes(125))
+    assert s.lengths == [len(f) for f in frames] and s.skipped == 0 and s.duration == Fraction(1152 * 9, 44100)
+    s = media_mpeg.parse(b"junk" + b"".join(frames[:4]) + b"??" + b"".join(frames[4:]))
+    assert len(s.offsets) == 9 and s.skipped == 6
+    assert media_mpeg.parse(frames[0]).offsets == []
+
+
+def test_media_tables():
+    frame = bare_frame(3, 3, 9, 0)
+    vbri = bytearray(frame)
+    vbri[36:62] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 10 * len(frame), 9, 3, 2, 2, 3)
+    vbri[62:68] = struct.pack(">3H", *[3 * len(frame) // 2] * 3)
+    s = media_mpeg.parse(bytes(vbri) + frame * 9)
+    assert s.vbr["kind"] == "VBRI" and s.sound_table and len(s.offsets) == 9 and s.duration == Fraction(1152 * 9, 44100)
+    assert s.hint(s.duration / 2) == 3 * len(frame) // 2 * 2
+    media = media_mpeg.encode(b"a" * 100_000)
+    s = media_mpeg.parse(media)
+    assert s.sound_table and all(abs(s.hint(s.duration * k / 100) - s.seek(s.duration * k / 100)) <= len(media) // 64 for k in range(100))
+    assert media_mpeg.parse(frame * 3).hint(0) is None and media_mpeg.parse(b"").seek(1) == -1
+    short = bytes([0xFF, 0xF3, 0x14, 0xC4]) + b"\0" * 9 + b"Xing\0\0\0\xff" + b"\0" * 5  # a table that ends with its frame
+    assert media_mpeg.header(short[:4]).length < 30 and media_mpeg.parse(short[:26]) is not None
+
+
+def test_media_tags():
+    frame = bare_frame(3, 3, 9, 0)
+    sync = lambda n: bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
+    v22 = b"TT2\0\0\x06\0title" + b"TXX\0\0\x06\0k\0val"
+    v23 = struct.pack(">IHI", 6, 0, 0) + b"TIT2\0\0\0\x05\0\0\1\xff\xfea\0" + b"TPE1\0\0\0\x03\0\x80\0no" + b"TALB\0\0\0\x03\0\0\0ok"
+    unsync = v23.replace(b"\xff\xfe", b"\xff\0\xfe")
+    v24 = sync(6) + b"\1\0" + b"TIT2" + sync(9) + b"\0\x01" + sync(5) + b"\3\xc3\xa9tc" + b"TALB" + sync(5) + b"\0\x02\3a\xff\0b"
+    for version, flags, body, tags in ((2, 0, v22, {"TT2": "title", "k": "val"}), (3, 0x40, v23, {"TIT2": "a", "TALB": "ok"}), (3, 0xC0, unsync, {"TIT2": "a", "TALB": "ok"}), (4, 0x50, v24, {"TIT2": "étc", "TALB": "a\ufffdb"})):
+        tag = b"ID3" + bytes([version, 0, flags]) + sync(len(body)) + body + (b"3DI" + bytes([version, 0, flags]) + sync(len(body)) if flags & 0x10 and version == 4 else b"")
+        s = media_mpeg.parse(tag + frame * 3)
+        assert s.tags == tags and len(s.offsets) == 3 and s.skipped == 0, version
+        assert media_mpeg.parse(tag + tag + frame * 3).offsets[0] == 2 * len(tag)
+    item = struct.pack("<2I", 3, 0) + b"Artist\0xyz"
+    foot = lambda flags: b"APETAGEX" + struct.pack("<4I", 2000, len(item) + 32, 1, flags) + bytes(8)
+    for ape in (item + foot(0), foot(0xA0000000) + item + foot(0x80000000)):
+        s = media_mpeg.parse(frame * 3 + ape + b"TAG" + b"t".ljust(125, b"\0"))
+        assert s.tags == {"Artist": "xyz", "TIT2": "t"} and len(s.offsets) == 3 and s.skipped == 0
+
+
+def test_media_parser_never_fails():
+    rnd = random.Random(1)
+    seeds = [media_mpeg.encode(bytes(rnd.randrange(256) for _ in range(3000))), b"".join(bare_frame(*k) for k in ((3, 1, 4, 0), (2, 3, 1, 1), (3, 2, 2, 2))), b"ID3\4\0\xd0\0\0\0\x20" + bytes(40), b"APETAGEX" * 8]
+    marks = [b"Xing", b"VBRI", b"ID3\4", b"TAG", b"APETAGEX", b"\xff\xfb", b"\xff\xf3\x14\xc4", b"\xff\xfb\0\0"]
+    for _ in range(3000):
+        data = bytearray(rnd.choice(seeds))
+        for _ in range(rnd.randint(1, 6)):
+            at = rnd.randrange(len(data) + 1)
+            data[at : at + rnd.randint(0, 8)] = rnd.choice([*marks, bytes(rnd.randrange(256) for _ in range(rnd.randint(0, 9)))])
+        data = bytes(data[: rnd.randint(0, len(data))] if rnd.random() < 0.5 else data)
+        s = media_mpeg.parse(data)
+        media_mpeg.feature(s)
+        assert s.skipped + sum(s.lengths) + (s.vbr or {}).get("length", 0) <= len(data) and s.hint(0.1) != 0.1
+        assert all(a + n <= b for a, n, b in zip(s.offsets, s.lengths, [*s.offsets[1:], len(data)], strict=False))
+
+
 # 9. Near duplicates.
 
 
