@@ -18,12 +18,9 @@ def sum_(x: Column, kind: str | None = None) -> Column:
     return F.sum(x) if kind is None else F.sum(x).cast(kind)
 
 
-def product(x: Column, kind: str = "double") -> Column:
-    """Exact for whole numbers up to the type's range; null if there is no value."""
-    if kind == "double":
-        return F.product(x)
-    values = F.collect_list(x.cast(kind))
-    return F.when(F.count(x) > 0, F.aggregate(values, F.lit(1).cast(kind), lambda a, v: a * v))
+def product(x: Column) -> Column:
+    """To double precision; null if there is no value. The exact product of whole numbers needs two steps: operators.relations.product."""
+    return F.product(x.cast("double"))
 
 
 def min_(x: Column) -> Column:

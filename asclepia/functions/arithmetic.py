@@ -36,11 +36,13 @@ def multiply(a: Column, b: Column) -> Column:
 
 
 def multiply_decimal(a: Column, b: Column) -> Column:
-    """To 8 places. Small factors are multiplied exactly; Spark gives large ones fewer places (decimal(38,6))."""
+    """To 8 places, exactly: small factors at once, large ones by their whole and fractional parts, since Spark would give their product fewer places."""
     a, b = decimal(a), decimal(b)
     small = (F.abs(a) < 10**10) & (F.abs(b) < 10**10)
     narrow = lambda x: x.try_cast("decimal(18,8)")
-    return F.when(small, decimal(narrow(a) * narrow(b))).otherwise(decimal(a * b))
+    (i, f), (j, g) = ((F.floor(x).cast("decimal(20,0)"), (x - F.floor(x)).cast("decimal(8,8)")) for x in (a, b))
+    parts = (i * g + j * f).cast("decimal(38,16)") + (f * g).cast("decimal(38,16)")
+    return F.when(small, decimal(narrow(a) * narrow(b))).otherwise(decimal(decimal(i * j) + decimal(parts)))
 
 
 def divide(a: Column, b: Column) -> Column:
@@ -64,8 +66,18 @@ def modulo(a: Column, b: Column) -> Column:
 
 
 def power(a: Column, b: Column, kind: str = DECIMAL) -> Column:
-    """``kind`` is the static result type: int or bigint for whole bases with exponents that can't be negative, else decimal."""
-    return F.pow(a.cast("double"), b.cast("double")).cast(kind)
+    """``kind`` is the static result type: int or bigint for whole bases with exponents that can't be negative, else decimal.
+
+    Whole powers of whole numbers are multiplied out, exactly; one that doesn't fit raises. Others are to double precision.
+    """
+    near = F.pow(a.cast("double"), b.cast("double")).cast(kind)
+    if kind == DECIMAL:
+        return near
+    x, n = a.cast("bigint"), b.cast("int")
+    # Of 0, 1 and -1 only the exponent's parity counts, and no other number has a power beyond the 63rd that fits.
+    steps = F.when(F.abs(x) > 1, F.least(n, F.lit(64))).otherwise(F.when(n > 0, 2 - n % 2).otherwise(0))
+    exact = F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), F.lit(1).cast("bigint"), lambda t, i: F.when(i <= steps, t * x).otherwise(t))
+    return F.when(x.isNotNull() & n.isNotNull(), F.when(n < 0, near).otherwise(exact.cast(kind)))
 
 
 def negate(a: Column) -> Column:
@@ -77,7 +89,7 @@ def absolute(a: Column) -> Column:
 
 
 def _clamped(x: Column) -> Column:
-    return F.greatest(F.least(x, F.lit(INT_MAX)), F.lit(INT_MIN)).cast("int")
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(INT_MAX)), F.lit(INT_MIN)).cast("int"))
 
 
 def ceiling(a: Column) -> Column:
@@ -95,12 +107,21 @@ def truncate(a: Column) -> Column:
 
 
 def round_(a: Column, places: Column | int | None = None) -> Column:
-    """Midpoints go to the larger value: -0.5 to 0, -1.5 to -1. Null places give null."""
+    """Midpoints go to the larger value: -0.5 to 0, -1.5 to -1. Null places give null; eight or more change nothing, places below 0 round whole digits."""
+    x = decimal(a)
     if places is None or isinstance(places, int):
-        scale = Decimal(10) ** (places or 0)
-        return decimal(F.floor(a.cast("decimal(38,8)") * F.lit(scale) + F.lit(Decimal("0.5"))) / F.lit(scale))
-    scale = F.pow(F.lit(10.0), places)
-    return decimal(F.floor(a.cast("double") * scale + 0.5) / scale)
+        return _rounded(x, places or 0)
+    out = F.when(places >= 8, x)
+    for n in range(-19, 8):
+        out = out.when(places == n, _rounded(x, n))
+    return out.when(places < -19, F.lit(0).cast(DECIMAL))
+
+
+def _rounded(x: Column, places: int) -> Column:
+    if places >= 8:
+        return x
+    half = F.lit(Decimal(5).scaleb(-places - 1)).cast("decimal(38,9)")
+    return decimal(F.call_function("floor", x.cast("decimal(38,9)") + half, F.lit(places)))
 
 
 def _floating(x: Column) -> Column:
@@ -133,7 +154,7 @@ def successor(a: Column, kind: str = "Integer") -> Column:
         return F.when(a >= F.lit("9999-12-31").cast("date"), F.raise_error(F.lit("successor of the last date")).cast("date")).otherwise(F.date_add(a, 1))
     if kind == "Time":
         return F.when(a >= MAXIMUM["Time"], F.raise_error(F.lit("successor of the last time")).cast("int")).otherwise(a + 1)
-    return a + F.expr("interval '0.001' second")
+    return F.when(a >= F.lit(MAXIMUM["DateTime"]).cast("timestamp_ntz"), F.raise_error(F.lit("successor of the last time")).cast("timestamp_ntz")).otherwise(a + F.expr("interval '0.001' second"))
 
 
 def predecessor(a: Column, kind: str = "Integer") -> Column:
@@ -145,15 +166,20 @@ def predecessor(a: Column, kind: str = "Integer") -> Column:
         return F.when(a <= F.lit("0001-01-01").cast("date"), F.raise_error(F.lit("predecessor of the first date")).cast("date")).otherwise(F.date_sub(a, 1))
     if kind == "Time":
         return F.when(a <= 0, F.raise_error(F.lit("predecessor of the first time")).cast("int")).otherwise(a - 1)
-    return a - F.expr("interval '0.001' second")
+    return F.when(a <= F.lit(MINIMUM["DateTime"]).cast("timestamp_ntz"), F.raise_error(F.lit("predecessor of the first time")).cast("timestamp_ntz")).otherwise(a - F.expr("interval '0.001' second"))
 
 
 def minimum(kind: str) -> Column:
-    return F.lit(MINIMUM[kind]).cast(_SPARK[kind])
+    """Of a quantity: the least decimal, of unit 1."""
+    return _unit_one(MINIMUM["Decimal"]) if kind == "Quantity" else F.lit(MINIMUM[kind]).cast(_SPARK[kind])
 
 
 def maximum(kind: str) -> Column:
-    return F.lit(MAXIMUM[kind]).cast(_SPARK[kind])
+    return _unit_one(MAXIMUM["Decimal"]) if kind == "Quantity" else F.lit(MAXIMUM[kind]).cast(_SPARK[kind])
+
+
+def _unit_one(value: Decimal) -> Column:
+    return F.struct(F.lit(value).cast(DECIMAL).alias("value"), F.lit("1").alias("unit"))
 
 
 def precision(a: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from asclepia.functions import temporal
+from asclepia.functions.comparison import _unit
 from asclepia.functions.conversion import quantity
 
 __all__ = ["add_quantities", "age", "age_at", "code", "concept", "divide_quantities", "in_code_system", "quantity", "ratio", "subtract_quantities"]
@@ -41,20 +42,23 @@ def age(birth: Column, now: Column, precision: str = "year") -> Column:
 age_at = age
 
 
-def _same_unit(a: Column, b: Column, value: Column) -> Column:
-    same = F.coalesce(a["unit"], F.lit("1")) == F.coalesce(b["unit"], F.lit("1"))
-    made = quantity(value, a["unit"])
+def _same_unit(a: Column, b: Column, combine) -> Column:
+    ua, ub = F.coalesce(a["unit"], F.lit("1")), F.coalesce(b["unit"], F.lit("1"))
+    converts = _unit(ua, 0) == _unit(ub, 0)
+    moved = (b["value"].cast("double") * _unit(ub, 1) / _unit(ua, 1)).cast("decimal(28,8)")
+    made = quantity(combine(a["value"], b["value"]), a["unit"])
     some = a["value"].isNotNull() & b["value"].isNotNull()
-    return F.when(some & same, made).when(some, F.when(F.raise_error(F.lit("units differ")).cast("boolean"), made))
+    wrong = F.when(F.raise_error(F.lit("units differ")).cast("boolean"), made)
+    return F.when(some & (ua == ub), made).when(some & converts, quantity(combine(a["value"], moved), a["unit"])).when(some, wrong)
 
 
 def add_quantities(a: Column, b: Column) -> Column:
-    """Of one unit; others raise."""
-    return _same_unit(a, b, a["value"] + b["value"])
+    """In the first one's unit; units of different dimensions raise."""
+    return _same_unit(a, b, lambda x, y: x + y)
 
 
 def subtract_quantities(a: Column, b: Column) -> Column:
-    return _same_unit(a, b, a["value"] - b["value"])
+    return _same_unit(a, b, lambda x, y: x - y)
 
 
 def multiply_quantity(a: Column, n: Column) -> Column:

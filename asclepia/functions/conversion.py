@@ -54,7 +54,7 @@ def to_decimal(x: Column) -> Column:
 def to_string(x: Column, kind: str | None = None) -> Column:
     """ISO for temporals; a quantity as value 'unit'."""
     if kind == "Quantity":
-        return F.concat(F.regexp_replace(x["value"].cast("string"), r"(\.\d*?[1-9]|\.0)0+$|(\.\d*?)0+$", "$1$2"), F.lit(" '"), F.coalesce(x["unit"], F.lit("1")), F.lit("'"))
+        return F.concat(F.regexp_replace(x["value"].cast("string"), r"(\.\d*?[1-9])0+$|\.0*$", "$1"), F.lit(" '"), F.coalesce(x["unit"], F.lit("1")), F.lit("'"))
     if kind == "DateTime":
         return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss.SSS")
     if kind == "Time":
@@ -80,6 +80,35 @@ def to_date_time(x: Column) -> Column:
     return F.when(F.regexp_like(x, F.lit(r"^\d{4}-\d{2}-\d{2}")), x.try_cast("timestamp_ntz"))
 
 
+#: A date-time with a part of its time, and a zone perhaps.
+STAMP = r"^(\d{4}-\d{2}-\d{2})T(?:(\d{2})(?::(\d{2})(?::(\d{2})(?:\.(\d{1,}))?)?)?)?(Z|[+-]\d{2}:\d{2})?$"
+
+
+def to_partial_date_time(x: Column) -> Column:
+    """Of an ISO date, or date and time down to any part; in UTC. Null if it isn't one."""
+    from asclepia.functions import temporal
+
+    part = lambda i: F.nullif(F.regexp_extract(x, STAMP, i), F.lit(""))
+    number = lambda i, most: F.when(part(i).isNull() | part(i).try_cast("int").between(0, most), F.coalesce(part(i).try_cast("int"), F.lit(0)))
+    ms = F.coalesce(F.rpad(F.substring(part(5), 1, 3), 3, "0").try_cast("int"), F.lit(0))
+    day = part(1).try_cast("date")
+    prec = F.when(part(5).isNotNull(), 7).when(part(4).isNotNull(), 6).when(part(3).isNotNull(), 5).when(part(2).isNotNull(), 4).otherwise(3)
+    total = ((number(2, 23).cast("bigint") * 60 + number(3, 59) - F.coalesce(offset_minutes(x), F.lit(0))) * 60 + number(4, 59)) * 1000 + ms
+    lo = temporal.add_ms(day.cast("timestamp_ntz"), total)
+    stamp = F.when(lo.isNotNull(), F.struct(lo.alias("lo"), F.when(prec == 3, temporal.add_ms(lo, F.lit(temporal.DAY_MS - 1))).otherwise(temporal.period_end(lo, prec)).alias("hi"), prec.cast("tinyint").alias("prec")))
+    date_ = to_partial_date(x)
+    last = date_["hi"].cast("timestamp_ntz") + F.expr("interval '0 23:59:59.999' day to second")
+    whole = F.when(date_.isNotNull(), F.struct(date_["lo"].cast("timestamp_ntz").alias("lo"), last.alias("hi"), date_["prec"].alias("prec")))
+    return F.when(F.regexp_like(x, F.lit(STAMP)), stamp).otherwise(whole)
+
+
+def offset_minutes(x: Column) -> Column:
+    """The zone at a date-time's end in minutes east of UTC; null without one or beyond 14 hours."""
+    sign, hours, minutes = (F.regexp_extract(x, r"T.*(?:(Z)|([+-])(\d{2}):(\d{2}))$", i) for i in (2, 3, 4))
+    size = hours.try_cast("int") * 60 + minutes.try_cast("int")
+    return F.when(F.regexp_like(x, F.lit("T.*Z$")), 0).when(size <= 840, F.when(sign == "-", -size).otherwise(size))
+
+
 def to_time(x: Column) -> Column:
     """Milliseconds of the day of [T]hh[:mm[:ss[.fff]]], a zone is ignored."""
     pattern = r"^T?(\d{2})(?::(\d{2})(?::(\d{2})(?:\.(\d{1,}))?)?)?(?:Z|[+-]\d{2}:\d{2})?$"

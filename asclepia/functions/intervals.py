@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,8 +52,9 @@ def width(i: Column) -> Column:
 
 
 def size(i: Column) -> Column:
-    """Points in an integer interval, not below 0."""
-    return F.greatest(i["high"] - i["low"] + F.when(i["lowClosed"], 1).otherwise(0) - F.when(i["highClosed"], 0).otherwise(1), F.lit(0))
+    """Points in an integer interval, not below 0; null if a bound is."""
+    points = i["high"] - i["low"] + F.when(i["lowClosed"], 1).otherwise(0) - F.when(i["highClosed"], 0).otherwise(1)
+    return F.when(points.isNotNull(), F.greatest(points, F.lit(0)))
 
 
 def first_point(i: Column, kind: str) -> Column:
@@ -198,41 +201,121 @@ def except_(a: Column, b: Column, kind: str = "Integer") -> Column:
 
 
 def collapse(items: Column, kind: str = "Integer") -> Column:
-    """Intervals in a list, overlapping and adjacent ones merged, in order; closed at their first and last points. Nulls are skipped."""
+    """Intervals in a list, overlapping and adjacent ones merged, in order; closed at their first and last points. Nulls are skipped.
+
+    A null bound doesn't limit: such an interval takes in all that come after, or before.
+    """
     points = F.filter(items, lambda i: i.isNotNull())
     closed = F.array_sort(F.transform(points, lambda i: F.struct(first_point(i, kind).alias("low"), last_point(i, kind).alias("high"))))
     start_ = F.slice(closed, 1, 1)
 
     def step(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["low"].alias("low"), F.greatest(last["high"], x["high"]).alias("high"))))
-        reach = F.coalesce(arithmetic.successor(last["high"], kind), last["high"]) if kind != "Time" else last["high"] + 1
-        return F.when(x["low"] <= reach, joined).otherwise(F.concat(acc, F.array(x)))
+        high = F.when(last["high"].isNotNull() & x["high"].isNotNull(), F.greatest(last["high"], x["high"]))
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["low"].alias("low"), high.alias("high"))))
+        most = F.lit(arithmetic.MAXIMUM[kind]).cast(arithmetic._SPARK[kind])
+        reach = F.when(last["high"] < most, arithmetic.successor(F.when(last["high"] < most, last["high"]), kind)).otherwise(last["high"]) if kind != "Time" else last["high"] + 1
+        meets_ = F.coalesce(x["low"] <= reach, x["low"].isNull() | last["high"].isNull())
+        return F.when(meets_, joined).otherwise(F.concat(acc, F.array(x)))
 
     merged = F.aggregate(F.slice(closed, 2, F.greatest(F.size(closed) - 1, F.lit(0))), start_, step)
     return F.transform(merged, lambda x: F.struct(x["low"].alias("low"), x["high"].alias("high"), F.lit(True).alias("lowClosed"), F.lit(True).alias("highClosed")))
 
 
-def expand(i: Column, step: Column | int = 1, kind: str = "Integer") -> Column:
-    """The points of an interval, ``step`` apart (days for dates, in the type's unit otherwise), full steps only; a null bound gives null."""
-    low, high = first_point(i, kind), last_point(i, kind)
-    size_ = F.lit(step) if isinstance(step, int) else step
-    some = low.isNotNull() & high.isNotNull()
-    empty = F.slice(F.array(low), 1, 0)
+#: A step in a unit that has no fixed length is so many days (the model's own approximations).
+_DAYS = {"year": 365, "month": 30, "week": 7, "day": 1}
+
+
+def _step(kind: str, step: Column | int, unit: str | None) -> tuple[Column, str]:
+    """The step as a number of the points' own smallest unit, which it is given with."""
+    n = F.lit(step) if isinstance(step, (int, Decimal)) else step
     if kind == "Date":
-        count = F.floor((F.datediff(high, low) + 1) / size_).cast("int")
-        points = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda n: F.date_add(low, (n * size_).cast("int")))
+        p = temporal.unit(unit or "day")
+        return (n * _DAYS[p] if p in _DAYS else n / (temporal.DAY_MS // (temporal._MICROS[p] // 1000))).cast("int"), "day"
+    if kind in ("DateTime", "Time"):
+        p = temporal.unit(unit or ("day" if kind == "DateTime" else "hour"))
+        return (n * (_DAYS[p] * temporal.DAY_MS if p in _DAYS else temporal._MICROS[p] // 1000)).cast("bigint"), "millisecond"
+    return n, ""
+
+
+def expand(i: Column, step: Column | int | Decimal = 1, kind: str = "Integer", unit: str | None = None) -> Column:
+    """The points of an interval, ``step`` apart, full steps only; a null bound, or a step that isn't above 0, gives null.
+
+    ``unit`` is the step's for temporals: days for dates and date-times and hours for times unless it says otherwise; for dates and date-times months and years
+    are steps of the calendar. Decimal points are ``step`` apart from the first one on.
+    """
+    low, high = first_point(i, kind), last_point(i, kind)
+    return _points(low, high, step, kind, unit)
+
+
+def _points(low: Column, high: Column, step: Column | int | Decimal, kind: str, unit: str | None) -> Column:
+    n, base = _step(kind, step, unit)
+    none = F.slice(F.array(low), 1, 0)
+    calendar = unit is not None and kind in ("Date", "DateTime") and temporal.unit(unit) in ("year", "month")
+    if calendar:
+        months = (F.lit(step) if isinstance(step, (int, Decimal)) else step).cast("int") * (12 if temporal.unit(unit) == "year" else 1)
+        at = (lambda k: F.add_months(low, (k * months).cast("int"))) if kind == "Date" else (lambda k: temporal.add(low, (k * months).cast("int"), "month"))
+        after = F.date_add(high, 1) if kind == "Date" else high + F.expr("interval '0.001' second")
+        count = F.call_function("div", temporal.duration_between(low, after, "month"), months).cast("int")
+        n = months
+    elif kind == "Date":
+        at, count = (lambda k: F.date_add(low, (k * n).cast("int"))), F.floor((F.datediff(high, low) + 1) / n).cast("int")
+    elif kind == "DateTime":
+        span = temporal.duration_between_ms(low, high) + 1
+        at, count = (lambda k: temporal.add_ms(low, k.cast("bigint") * n)), F.floor(span / n).cast("int")
+    elif kind == "Decimal":
+        size_ = arithmetic.decimal(n)
+        at, count = (lambda k: arithmetic.decimal(low + k * size_)), (F.floor((high - low + F.lit(arithmetic.STEP)) / size_)).cast("int")
+        n = size_
     else:
-        count = F.floor((high - low + 1) / size_).cast("int")
-        points = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda n: low + n * size_)
-    return F.when(some & (count > 0), points).when(some, empty)
+        own = "int" if kind in ("Integer", "Time") else "bigint"
+        size_ = n.cast("bigint")
+        at, count = (lambda k: (low + k * size_).cast(own)), F.floor((high.cast("bigint") - low + 1) / size_).cast("int")
+        n = size_
+    points = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda k: at(k))
+    some = low.isNotNull() & high.isNotNull() & (n > 0)
+    return F.when(some & (count > 0), points).when(some, none)
 
 
-def expand_intervals(i: Column, step: Column | int = 1, kind: str = "Integer") -> Column:
+def expand_intervals(i: Column, step: Column | int | Decimal = 1, kind: str = "Integer", unit: str | None = None) -> Column:
     """As :func:`expand`, but each step as a closed interval of its points."""
-    size_ = F.lit(step) if isinstance(step, int) else step
-    upto = (lambda p: F.date_add(p, (size_ - 1).cast("int"))) if kind == "Date" else (lambda p: p + size_ - 1)
-    return F.transform(expand(i, step, kind), lambda p: F.struct(p.alias("low"), upto(p).alias("high"), F.lit(True).alias("lowClosed"), F.lit(True).alias("highClosed")))
+    n, _ = _step(kind, step, unit)
+    calendar = unit is not None and kind in ("Date", "DateTime") and temporal.unit(unit) in ("year", "month")
+
+    def upto(p: Column) -> Column:
+        if calendar:
+            months = (F.lit(step) if isinstance(step, (int, Decimal)) else step).cast("int") * (12 if temporal.unit(unit) == "year" else 1)
+            return F.date_sub(F.add_months(p, months), 1) if kind == "Date" else temporal.add_ms(temporal.add(p, months, "month"), F.lit(-1))
+        if kind == "Date":
+            return F.date_add(p, (n - 1).cast("int"))
+        if kind == "DateTime":
+            return temporal.add_ms(p, n - 1)
+        if kind == "Decimal":
+            return arithmetic.decimal(p + arithmetic.decimal(n) - F.lit(arithmetic.STEP))
+        return (p + n.cast("bigint") - 1).cast("bigint" if kind == "Long" else "int")
+
+    return F.transform(expand(i, step, kind, unit), lambda p: F.struct(p.alias("low"), upto(p).alias("high"), F.lit(True).alias("lowClosed"), F.lit(True).alias("highClosed")))
+
+
+def collapse_per(items: Column, step: Column, kind: str, unit: str | None = None) -> Column:
+    """As :func:`collapse`, but intervals up to a step apart join, too: gaps smaller than ``step`` are closed."""
+    points = F.filter(items, lambda i: i.isNotNull())
+    closed = F.array_sort(F.transform(points, lambda i: F.struct(first_point(i, kind).alias("low"), last_point(i, kind).alias("high"))))
+
+    def reach(x: Column) -> Column:
+        if kind in ("Date", "DateTime") and unit is not None:
+            return temporal.add(x, step, unit, kind)
+        n, _ = _step(kind, step, unit)
+        return arithmetic.decimal(x + n) if kind == "Decimal" else (x + n)
+
+    def merge(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        high = F.when(last["high"].isNotNull() & x["high"].isNotNull(), F.greatest(last["high"], x["high"]))
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["low"].alias("low"), high.alias("high"))))
+        return F.when(F.coalesce(x["low"] <= reach(last["high"]), x["low"].isNull() | last["high"].isNull()), joined).otherwise(F.concat(acc, F.array(x)))
+
+    merged = F.aggregate(F.slice(closed, 2, F.greatest(F.size(closed) - 1, F.lit(0))), F.slice(closed, 1, 1), merge)
+    return F.transform(merged, lambda x: F.struct(x["low"].alias("low"), x["high"].alias("high"), F.lit(True).alias("lowClosed"), F.lit(True).alias("highClosed")))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -245,5 +328,7 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def multiply(a: Column, b: Column) -> Column:
+    """Product of two uncertain integers; null if a bound is."""
     four = [a[x] * b[y] for x in ("low", "high") for y in ("low", "high")]
-    return _from(F.least(*four), F.greatest(*four), F.lit(True), F.lit(True))
+    some = a["low"].isNotNull() & a["high"].isNotNull() & b["low"].isNotNull() & b["high"].isNotNull()
+    return F.when(some, _from(F.least(*four), F.greatest(*four), F.lit(True), F.lit(True)))

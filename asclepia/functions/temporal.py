@@ -94,6 +94,14 @@ def duration_between(a: Column, b: Column, precision: str) -> Column:
     return F.call_function("div", _micros(b) - _micros(a), F.lit(_MICROS[p])).cast("int")
 
 
+def duration_between_ms(a: Column, b: Column) -> Column:
+    return F.call_function("div", _micros(b) - _micros(a), F.lit(1000))
+
+
+def add_ms(x: Column, ms: Column) -> Column:
+    return x + F.make_dt_interval(secs=(ms.cast("decimal(18,0)") / 1000).cast("decimal(18,6)"))
+
+
 def difference_between(a: Column, b: Column, precision: str) -> Column:
     """Boundaries crossed: of years, months, weeks (Sundays) and days; below that, of the truncated moments."""
     p = unit(precision)
@@ -159,6 +167,61 @@ def subtract(x: Column, amount: Column, precision: str, kind: str = "DateTime")
 
 # Partial values.
 
+#: The number of components that a unit of time needs.
+COMPONENTS = {"year": 1, "month": 2, "week": 3, "day": 3, "hour": 4, "minute": 5, "second": 6, "millisecond": 7}
+#: How many of a finer unit make one of a coarser one where the calendar can't tell (fixed values of the model).
+_PER = {"year": {"month": 12, "week": 52, "day": 365, "hour": 8_760}, "month": {"week": 4, "day": 30, "hour": 720}, "day": {"hour": 24}}
+
+
+def _per(coarse: str, fine: str) -> int:
+    if coarse in ("year", "month", "day") and fine in _PER[coarse]:
+        return _PER[coarse][fine]
+    if coarse in ("year", "month", "day"):
+        return _PER[coarse]["hour"] * (_MICROS["hour"] // _MICROS[fine])
+    return _MICROS[coarse] // _MICROS[fine]
+
+
+def period_end(lo: Column, prec: Column, kind: str = "DateTime") -> Column:
+    """The last moment of the period of precision ``prec`` that begins at ``lo``."""
+    if kind == "Time":
+        return F.when(prec == 4, lo + 3_599_999).when(prec == 5, lo + 59_999).when(prec == 6, lo + 999).otherwise(lo).cast("int")
+    if kind == "Date":
+        return F.when(prec == 1, F.make_date(F.year(lo), F.lit(12), F.lit(31))).when(prec == 2, F.last_day(lo)).otherwise(lo)
+    last_day = F.when(prec == 1, F.make_date(F.year(lo), F.lit(12), F.lit(31))).when(prec == 2, F.last_day(F.to_date(lo))).otherwise(F.to_date(lo))
+    day_end = last_day.cast("timestamp_ntz") + F.expr("interval '0 23:59:59.999' day to second")
+    return F.when(prec <= 3, day_end).when(prec == 4, add_ms(lo, F.lit(3_599_999))).when(prec == 5, add_ms(lo, F.lit(59_999))).when(prec == 6, add_ms(lo, F.lit(999))).otherwise(lo)
+
+
+def add_partial(x: Column, amount: Column, precision: str, kind: str = "DateTime") -> Column:
+    """Calendar arithmetic on a value of which not all is known: it stays as precise as it is.
+
+    An amount in a finer unit counts in whole units of that precision: 12 months or 365 days a year, 30 days a month.
+    """
+    p, n = unit(precision), amount.cast("int")
+    prec = x["prec"]
+    lo = F.when(prec >= COMPONENTS[p], add(x["lo"], n, p, kind))
+    for k, coarse in enumerate(PRECISIONS, 1):
+        if k < COMPONENTS[p] and not (kind == "Time" and k < 4) and not (kind == "Date" and k > 3):
+            lo = lo.when(prec == k, add(x["lo"], F.call_function("div", n, F.lit(_per(coarse, p))).cast("int"), coarse, kind))
+    return F.when(x.isNotNull() & n.isNotNull(), F.struct(lo.alias("lo"), period_end(lo, prec, kind).alias("hi"), prec.alias("prec")))
+
+
+def step_partial(x: Column, by: int, kind: str = "DateTime") -> Column:
+    """The next (1) or previous (-1) value of the same precision; beyond the first or last one raises."""
+    lo = None
+    for k, p in enumerate(PRECISIONS, 1):
+        if (kind == "Time" and k < 4) or (kind == "Date" and k > 3):
+            continue
+        moved = x["lo"] + by * (_MICROS[p] // 1000) if kind == "Time" else add(x["lo"], F.lit(by), p, kind)
+        lo = F.when(x["prec"] == k, moved) if lo is None else lo.when(x["prec"] == k, moved)
+    if kind == "Time":
+        wrong, raised = ~lo.between(0, DAY_MS - 1), "int"
+    else:
+        wrong, raised = ~F.year(lo).between(1, 9999), "date" if kind == "Date" else "timestamp_ntz"
+    word = "predecessor of the first" if by < 0 else "successor of the last"
+    lo = F.when(wrong, F.raise_error(F.lit(f"{word} {'date' if kind == 'Date' else 'time'}")).cast(raised)).otherwise(lo).cast(raised)
+    return F.when(x.isNotNull(), F.struct(lo.alias("lo"), period_end(lo, x["prec"], kind).alias("hi"), x["prec"].alias("prec")))
+
 
 def partial_date(year: Column, month: Column | None = None, day: Column | None = None) -> Column:
     one = F.lit(1)
@@ -190,7 +253,7 @@ def partial_less_or_equal(a: Column, b: Column) -> Column:
 def partial_duration(a: Column, b: Column, precision: str) -> Column:
     """An interval of the least and the greatest duration; a point if they agree."""
     low, high = duration_between(a["hi"], b["lo"], precision), duration_between(a["lo"], b["hi"], precision)
-    return F.struct(low.alias("low"), high.alias("high"), F.lit(True).alias("lowClosed"), F.lit(True).alias("highClosed"))
+    return F.when(a.isNotNull() & b.isNotNull(), F.struct(low.alias("low"), high.alias("high"), F.lit(True).alias("lowClosed"), F.lit(True).alias("highClosed")))
 
 
 def precision_digits(a: Column) -> Column:

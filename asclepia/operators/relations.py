@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     """``a`` with its duplicates, then the distinct rows of ``b`` that it lacks."""
     b = b.select(*a.columns)
@@ -59,33 +59,102 @@ def expand(df: DataFrame, points: Column, name: str = "point") -> DataFrame:
     return df.withColumn(name, F.explode(points))
 
 
+#: An interval is dealt to so many buckets at most; a longer one goes to buckets that are so many times wider, and one without an end to a single bucket.
+SPAN, LEVELS = 32, 8
+
+
+def _level(low: Column, high: Column, width: float) -> Column:
+    """The first level whose buckets, width * SPAN ** level wide, an interval spans fewer than SPAN of; LEVELS if there is none or a bound is null."""
+    out = None
+    for k in range(LEVELS):
+        size = F.lit(float(width) * SPAN**k)
+        fits = F.floor(high / size) - F.floor(low / size) < SPAN
+        out = F.when(fits, k) if out is None else out.when(fits, k)
+    return out.otherwise(LEVELS).cast("int")
+
+
+def _dealt(level: Column, low: Column, high: Column, width: float, others: list[int], own: list[int]) -> Column:
+    """The (level, bucket)s of an interval: at its own level, and at each coarser one where the other side has intervals."""
+    none = F.array().cast("array<struct<level:int,bucket:bigint>>")
+    parts = [none]
+    for k in range(LEVELS + 1):
+        if k not in own and k not in others:
+            continue
+        here = level == k if k not in others else level <= k
+        if k == LEVELS:
+            buckets = F.array(F.struct(F.lit(k).alias("level"), F.lit(0).cast("bigint").alias("bucket")))
+        else:
+            size = F.lit(float(width) * SPAN**k)
+            first, last = F.floor(F.coalesce(low, F.lit(0)) / size), F.floor(F.coalesce(high, F.lit(0)) / size)
+            at_level = F.lit(k).alias("level")
+            buckets = F.transform(F.sequence(first, F.least(F.greatest(first, last), first + SPAN)), lambda b: F.struct(at_level, b.cast("bigint").alias("bucket")))  # noqa: B023  used at once
+        parts.append(F.when(here, buckets).otherwise(none))
+    return F.concat(*parts)
+
+
 def range_join(a: DataFrame, b: DataFrame, a_low: str, a_high: str, b_low: str, b_high: str, width: float, on: list[str] | None = None) -> DataFrame:
-    """Pairs of rows whose closed intervals overlap, on equal keys ``on`` if given. Bounds are numbers.
+    """Pairs of rows whose closed intervals overlap, on equal keys ``on`` if given. Bounds are numbers; a null bound doesn't limit, an interval
+    whose bounds are the wrong way round overlaps nothing.
 
-    Both sides are dealt to buckets of ``width``: an equi join instead of a nested loop. Of the buckets that a pair shares, the
+    Both sides are dealt to buckets of ``width``: an equi join instead of a nested loop. Intervals much longer than that are dealt to wider buckets, so that
+    a row comes SPAN times at most and once or twice at each coarser level; a pair meets at the coarser level of the two only. Of the buckets that it shares there, the
     first one yields it, so that no pair comes twice. Choose ``width`` near the usual length of an interval.
     """
-    bucket = lambda x: F.floor(F.col(x) / F.lit(width))
-    left = a.withColumn("_bucket", F.explode(F.sequence(bucket(a_low), bucket(a_high))))
-    right = b.select(*[F.col(c).alias(f"_r_{c}") for c in b.columns]).withColumn("_rbucket", F.explode(F.sequence(F.floor(F.col(f"_r_{b_low}") / width), F.floor(F.col(f"_r_{b_high}") / width))))
-    keys = reduce(lambda x, y: x & y, [F.col("_bucket") == F.col("_rbucket"), *[F.col(k) == F.col(f"_r_{k}") for k in on or []]])
-    meets = (F.col(a_low) <= F.col(f"_r_{b_high}")) & (F.col(f"_r_{b_low}") <= F.col(a_high))
-    once = F.col("_bucket") == F.greatest(bucket(a_low), F.floor(F.col(f"_r_{b_low}") / width))
-    joined = left.join(right, keys & meets & once).drop("_bucket", "_rbucket")
+    names = lambda df, *want: [w + "_" * max((len(c) for c in df.columns if c.lower().startswith(w)), default=0) for w in want]
+    a_own, a_at = names(a, "_own", "_at")
+    side = [(a.withColumn(a_own, _level(F.col(a_low).cast("double"), F.col(a_high).cast("double"), width)), a_own, a_low, a_high)]
+    right = b.select(*[F.col(f"`{c}`").alias(f"_r_{c}") for c in b.columns])
+    side.append((right.withColumn("_own_r", _level(F.col(f"_r_{b_low}").cast("double"), F.col(f"_r_{b_high}").cast("double"), width)), "_own_r", f"_r_{b_low}", f"_r_{b_high}"))
+    levels = [sorted(df.agg(F.collect_set(own)).first()[0]) for df, own, _, _ in side]
+    dealt = []
+    for (df, own, low, high), mine, others, at in zip(side, levels, reversed(levels), (a_at, "_at_r"), strict=True):
+        right_way = F.coalesce(F.col(low) <= F.col(high), F.lit(True))
+        dealt.append(df.filter(right_way).withColumn(at, F.explode(_dealt(F.col(own), F.col(low), F.col(high), width, others, mine))))
+    left, right = dealt
+    meet = F.col(f"{a_at}.level") == F.greatest(a_own, "_own_r")
+    before = lambda x, y: F.coalesce(F.col(x) <= F.col(y), F.lit(True))
+    first = lambda level, low: F.when(level < LEVELS, F.floor(F.coalesce(F.col(low), F.lit(0)) / (F.lit(float(width)) * F.pow(F.lit(float(SPAN)), level)))).otherwise(0)
+    once = F.col(f"{a_at}.bucket") == F.greatest(first(F.col(f"{a_at}.level"), a_low), first(F.col(f"{a_at}.level"), f"_r_{b_low}"))
+    keys = reduce(lambda x, y: x & y, [F.col(a_at) == F.col("_at_r"), *[F.col(k) == F.col(f"_r_{k}") for k in on or []]])
+    found = left.join(right, keys & meet & before(a_low, f"_r_{b_high}") & before(f"_r_{b_low}", a_high) & once)
     taken = set(a.columns)
-    return joined.select(*a.columns, *[F.col(f"_r_{c}").alias(c) for c in b.columns if c not in taken])
+    return found.select(*[F.col(f"`{c}`") for c in a.columns], *[F.col(f"`_r_{c}`").alias(c) for c in b.columns if c not in taken])
+
+
+def product(df: DataFrame, by: list[str], column: str, name: str = "product", kind: str = "bigint") -> DataFrame:
+    """The exact product of a whole-number column in each group; null without values. One that doesn't fit ``kind`` raises.
+
+    A product that fits has 63 factors other than 0, 1 and -1 at most: only those of groups without a zero and with no more of them come together in a row.
+    """
+    x = F.col(column).cast("bigint")
+    big = F.abs(x) > 1
+    sums = df.groupBy(*by).agg(F.count(x).alias("_n"), F.count_if(x == 0).alias("_zeros"), F.count_if(x < 0).alias("_negative"), F.count_if(big).alias("_big"))
+    few = df.filter(big).groupBy(*by, F.abs(x).alias("_x")).agg(F.count(F.lit(1)).alias("_times"))
+    some = sums.filter("_zeros = 0 AND _big BETWEEN 1 AND 63")
+    same = lambda l, r: reduce(lambda p, q: p & q, [F.col(f"{l}.`{k}`").eqNullSafe(F.col(f"{r}.`{k}`")) for k in by], F.lit(True))
+    few = few.alias("f").join(some.select(*by).alias("s"), same("f", "s"), "left_semi") if by else few.crossJoin(some.select("_big")).drop("_big")
+    factors = few.groupBy(*by).agg(F.collect_list(F.struct("_x", "_times")).alias("_factors"))
+    one = F.lit(1).cast("bigint")
+    size = F.aggregate(F.flatten(F.transform("_factors", lambda f: F.array_repeat(f["_x"], f["_times"].cast("int")))), one, lambda t, v: t * v)
+    value = F.when(F.col("_n") == 0, F.lit(None).cast("bigint")).when(F.col("_zeros") > 0, 0).when(F.col("_big") > 63, F.raise_error(F.lit("product overflow")).cast("bigint"))
+    value = value.otherwise(F.coalesce(size, one) * F.when(F.col("_negative") % 2 == 1, -1).otherwise(1)).cast(kind)
+    joined = sums.alias("s").join(factors.alias("f"), same("s", "f"), "left") if by else sums.alias("s").crossJoin(factors)
+    return joined.select(*[F.col(f"s.`{k}`") for k in by], value.alias(name))
 
 
 def repeat(seed: DataFrame, step, rounds: int = 1000) -> DataFrame:
     """Transitive closure: ``step`` (new rows to next rows) until nothing unseen comes. Nulls match; the seed is kept.
 
-    Each round's new rows are written to spark.checkpoint.dir if it is set, so that the plan stays short and lost executors cost one round.
+    Each round's new rows are written to spark.checkpoint.dir, so that the plan stays short, no round is computed again, and lost executors cost one round.
+    Where that setting is absent, a Spark that runs in one process uses a local folder; on a cluster it is an error.
     """
     sc = seed.sparkSession.sparkContext
-    where = seed.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if where and not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
-    cut = (lambda d: d.checkpoint()) if sc.getCheckpointDir() else (lambda d: d)
+    if not sc.getCheckpointDir():
+        where = seed.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not where and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="asclepia-rounds-"))
+    cut = lambda d: d.checkpoint()
     seen, new = seed, seed
     for _ in range(rounds):
         found = step(new).select(*seed.columns).dropDuplicates()
@@ -117,6 +186,12 @@ def descendants(schema: T.DataType, column: Column) -> Column:
     return walk(schema, column)
 
 
+def best_per(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """The row of each group that comes first in an order; partial rankings before the shuffle keep one row of a group per task."""
+    w = W.partitionBy(*by).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
 def last_per(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The last row of each group in an order: the as-of idiom."""
     w = W.partitionBy(*by).orderBy(*[c.desc_nulls_last() for c in order])

@@ -23,18 +23,21 @@ from asclepia.functions import strings as S
 from asclepia.functions import temporal as T
 from asclepia.operators import relations as R
 from asclepia.plans import types as Y
+from asclepia.plans.errors import CompileError, ModelError
 from asclepia.plans.lang import Library, Node
 from asclepia.plans.types import Ty
 
 
-class CompileError(ValueError):
-    """An expression that has no meaning: an unknown name, types that don't fit, a cycle."""
-
-
 @dataclass
 class Typed:
     col: Column
     ty: Ty
+    #: Of a date-time its zone in minutes east of UTC, where the expression itself says it; the value is in UTC.
+    offset: Column | None = None
+    #: Of a partial value how many components it has, where that is known beforehand.
+    prec: int | None = None
+    #: Of a quantity its unit, where the expression itself says it.
+    unit: str | None = None
 
 
 @dataclass
@@ -44,6 +47,8 @@ class Relation:
     df: DataFrame
     ty: Ty
     context: str | None = None
+    #: Keys of its order, with whether each ascends.
+    order: list[tuple[Column, bool]] = field(default_factory=list)
 
 
 @dataclass
@@ -62,6 +67,9 @@ def null(ty: Ty = Y.ANY) -> Typed:
     return Typed(F.lit(None).cast(Y.ddl(ty)), ty)
 
 
+#: Codes of a value set that stand in an expression as a literal.
+MAX_LITERAL_CODES = 10_000
+
 _STAMP = re.compile(r"(\d{4})(?:-(\d{2})(?:-(\d{2}))?)?(?:T(?:(\d{2})(?::(\d{2})(?::(\d{2})(?:\.(\d+))?)?)?)?)?(Z|[+-]\d{2}:\d{2})?$")
 _CLOCK = re.compile(r"T?(\d{2})(?::(\d{2})(?::(\d{2})(?:\.(\d+))?)?)?(Z|[+-]\d{2}:\d{2})?$")
 
@@ -77,16 +85,16 @@ def temporal_literal(text: str, kind: str) -> Typed:
         if not m:
             raise CompileError(f"not a time: {text}")
         parts = [int(m[i]) for i in (1, 2, 3) if m[i]] + ([_ms(m[4])] if m[4] else [])
-        if parts[0] > 23 or any(p > 59 for p in parts[1:3]):
-            raise CompileError(f"not a time: {text}")
+        if parts[0] > 23 or any(p > 59 for p in parts[1:3]) or len(m[4] or "") > 3:
+            raise CompileError(f"not a time: {text}", 5)
         at = lambda fill: sum(p * s for p, s in zip([*parts, *fill[len(parts) :]], (3_600_000, 60_000, 1000, 1), strict=True))
         if len(parts) == 4:
             return lit(at([0] * 4), Y.TIME)
         made = F.struct(F.lit(at([0] * 4)).alias("lo"), F.lit(at([23, 59, 59, 999])).alias("hi"), F.lit(len(parts) + 3).cast("tinyint").alias("prec"))
-        return Typed(made, Y.P_TIME)
+        return Typed(made, Y.P_TIME, prec=len(parts) + 3)
     m = _STAMP.match(text)
-    if not m:
-        raise CompileError(f"not a date: {text}")
+    if not m or len(m[7] or "") > 3:
+        raise CompileError(f"not a date: {text}", 5)
     parts = [int(m[i]) for i in range(1, 7) if m[i]] + ([_ms(m[7])] if m[7] else [])
     try:
         lo = datetime(*[*parts, *[1, 1, 1, 0, 0, 0][len(parts) :]][:6], _ms(m[7]) * 1000 if m[7] else 0)
@@ -98,17 +106,21 @@ def temporal_literal(text: str, kind: str) -> Typed:
         if n == 3:
             return lit(lo.date(), Y.DATE)
         made = F.struct(F.lit(lo.date()).alias("lo"), F.lit(step[n]().date()).alias("hi"), F.lit(n).cast("tinyint").alias("prec"))
-        return Typed(made, Y.P_DATE)
+        return Typed(made, Y.P_DATE, prec=n)
     hi = step[n]()
     hi = hi.replace(**{k: v for i, (k, v) in enumerate((("hour", 23), ("minute", 59), ("second", 59), ("microsecond", 999_000)), 4) if i > n})
-    if m[8] and m[8] != "Z":
-        sign, zone = (1 if m[8][0] == "+" else -1), m[8][1:].split(":")
-        shift = timedelta(minutes=sign * (int(zone[0]) * 60 + int(zone[1])))
-        lo, hi = lo - shift, hi - shift
+    offset = None
+    if m[8]:
+        sign, zone = (-1 if m[8][0] == "-" else 1), m[8][1:].split(":") if m[8] != "Z" else (0, 0)
+        minutes = sign * (int(zone[0]) * 60 + int(zone[1]))
+        if abs(minutes) > 840:
+            raise CompileError(f"not a time zone: {m[8]}", 5)
+        lo, hi = lo - timedelta(minutes=minutes), hi - timedelta(minutes=minutes)
+        offset = F.lit(minutes)
     if n == 7:
-        return lit(lo, Y.DATETIME)
+        return Typed(lit(lo, Y.DATETIME).col, Y.DATETIME, offset)
     made = F.struct(F.lit(lo).cast("timestamp_ntz").alias("lo"), F.lit(hi).cast("timestamp_ntz").alias("hi"), F.lit(n).cast("tinyint").alias("prec"))
-    return Typed(made, Y.P_DATETIME)
+    return Typed(made, Y.P_DATETIME, offset, n)
 
 
 class Compiler:
@@ -118,6 +130,8 @@ class Compiler:
         self.done: dict[str, Typed | Relation] = {}
         self.active: list[str] = []
         self.context = "Unfiltered"
+        #: Joins with value sets that are too large for a literal, for the query over tables that is being compiled.
+        self.pending: list[tuple[Typed, str, str]] | None = None
         self.host: dict[str, Callable[..., Typed]] = {}
 
     # Names.
@@ -126,7 +140,7 @@ class Compiler:
         if name in self.done:
             return self.done[name]
         if name in self.active:
-            raise CompileError(f"definitions refer to each other: {' -> '.join([*self.active, name])}")
+            raise CompileError(f"definitions refer to each other: {' -> '.join([*self.active, name])}", 4)
         self.active.append(name)
         outer, self.context = self.context, self.library.definitions[name].context
         try:
@@ -163,7 +177,7 @@ class Compiler:
         alias, _, rest = name.partition(".")
         if rest and alias in self.libraries:
             return self.libraries[alias].identifier(rest, Env())
-        raise CompileError(f"unknown name {name!r}")
+        raise CompileError(f"unknown name {name!r}", 1)
 
     def value(self, value, ty: Ty | None = None) -> Typed:
         """A Python value as a literal."""
@@ -185,7 +199,7 @@ class Compiler:
         inner = tuple(self.type(n) for n in node.args)
         name = node["name"]
         if name == "Choice":
-            return inner[0]
+            return Y.choice_of(inner)
         return Ty(name, inner, tuple(node["fields"] or ()))
 
     # Expressions.
@@ -254,7 +268,7 @@ class Compiler:
         return lit(text == "true" if kind == "Boolean" else text, Ty(kind))
 
     def on_Quantity(self, node: Node, env: Env) -> Typed:
-        return Typed(K.quantity(F.lit(Decimal(str(node["value"]))), node["unit"]), Y.QUANTITY)
+        return Typed(K.quantity(F.lit(Decimal(str(node["value"]))), node["unit"]), Y.QUANTITY, unit=node["unit"])
 
     def on_Ratio(self, node: Node, env: Env) -> Typed:
         return Typed(K.ratio(*[self.expr(a, env).col for a in node.args]), Y.RATIO)
@@ -269,11 +283,7 @@ class Compiler:
         return env.names["$total"]
 
     def list_(self, items: list[Typed], element: Ty | None = None) -> Typed:
-        for i in items:
-            element = i.ty if element is None else Y.common(element, i.ty)
-            if element is None:
-                raise CompileError("a list's elements must have a common type")
-        element = element or Y.ANY
+        element = Y.joint([*([element] if element else []), *[i.ty for i in items]])
         cols = [Y.convert(i.col, i.ty, element) for i in items]
         return Typed((F.array(*cols) if cols else F.array()).cast(f"array<{Y.ddl(element)}>"), Y.list_of(element))
 
@@ -302,7 +312,7 @@ class Compiler:
         low, high = (self.expr(a, env) for a in node.args)
         point = Y.common(low.ty, high.ty)
         if point is None:
-            raise CompileError("an interval's bounds must have a common type")
+            raise CompileError("an interval's bounds must have a common type", 3)
         if point in Y.PARTIAL or point == Y.ANY:
             checked = False
         else:
@@ -321,7 +331,7 @@ class Compiler:
     def property(self, x: Typed, path: str) -> Typed:
         if x.ty.name == "Tuple":
             if path not in x.ty.fields:
-                raise CompileError(f"no element {path!r} in {x.ty}")
+                raise ModelError(f"no element {path!r} in {x.ty}", 2)
             return Typed(x.col.getField(path), x.ty.inner[x.ty.fields.index(path)])
         if x.ty.name == "List":
             inner = self.property(Typed(F.lit(None).cast(Y.ddl(x.ty.inner[0])), x.ty.inner[0]), path)
@@ -333,24 +343,18 @@ class Compiler:
             return Typed(x.col[path], known[x.ty.name][path])
         if x.ty == Y.ANY:
             return null()
-        raise CompileError(f"no element {path!r} in {x.ty}")
+        raise ModelError(f"no element {path!r} in {x.ty}", 2)
 
     def on_If(self, node: Node, env: Env) -> Typed:
         c, a, b = (self.expr(x, env) for x in node.args)
-        ty = Y.common(a.ty, b.ty)
-        if ty is None:
-            raise CompileError("the branches must have a common type")
+        ty = Y.joint([a.ty, b.ty])
         return Typed(N.if_(Y.convert(c.col, c.ty, Y.BOOLEAN), Y.convert(a.col, a.ty, ty), Y.convert(b.col, b.ty, ty)), ty)
 
     def on_Case(self, node: Node, env: Env) -> Typed:
         comparand = self.expr(node["comparand"], env) if node["comparand"] else None
         pairs = [(self.expr(w, env), self.expr(t, env)) for w, t in node["branches"]]
         other = self.expr(node["else"], env) if node["else"] else null()
-        ty = other.ty
-        for _, t in pairs:
-            ty = Y.common(ty, t.ty)
-            if ty is None:
-                raise CompileError("the branches must have a common type")
+        ty = Y.joint([other.ty, *[t.ty for _, t in pairs]])
         conditions = [(w if comparand is None else equal(self, comparand, w)) for w, _ in pairs]
         branches = [(Y.convert(c.col, c.ty, Y.BOOLEAN), Y.convert(t.col, t.ty, ty)) for c, (_, t) in zip(conditions, pairs, strict=True)]
         return Typed(N.case(branches, Y.convert(other.col, other.ty, ty)), ty)
@@ -359,10 +363,16 @@ class Compiler:
         x, ty = self.expr(node.args[0], env), self.type(node["type"])
         if x.ty == Y.ANY:
             return Typed(F.array().cast(Y.ddl(ty)), ty) if ty.name == "List" and node.args[0].kind == "Null" else null(ty)
+        if ty.name == "Choice" and x.ty in ty.inner:
+            return x
+        if x.ty.name == "Choice":
+            return Typed(Y.chosen(x.col, x.ty, ty), ty)
         return x if x.ty == ty or Y.PARTIAL.get(x.ty) == ty or Y.cost(x.ty, ty) is None else Typed(Y.convert(x.col, x.ty, ty), ty)
 
     def on_Is(self, node: Node, env: Env) -> Typed:
         x, ty = self.expr(node.args[0], env), self.type(node["type"])
+        if x.ty.name == "Choice":
+            return Typed(F.coalesce(Y.chosen(x.col, x.ty, ty).isNotNull(), F.lit(False)), Y.BOOLEAN)
         same = Y.PARTIAL.get(x.ty, x.ty) == ty or (x.ty == Y.INTEGER and ty.name in ("Decimal", "Long")) or (x.ty.name == ty.name and bool(ty.inner))
         return Typed(V.is_(x.col, same), Y.BOOLEAN)
 
@@ -417,7 +427,14 @@ class Compiler:
         return Typed(L.repeat(items.col, body, 20), items.ty)
 
     def on_Message(self, node: Node, env: Env) -> Typed:
-        return self.expr(node.args[0], env)
+        """Its source; if the condition holds, one of severity Error stops the evaluation with its code and message."""
+        source = self.expr(node.args[0], env)
+        if len(node.args) < 4:
+            return source
+        condition, code, severity, message = [self.expr(a, env) for a in [*node.args[1:], Node("Null")][:4]]
+        words = F.concat(F.lit("message: "), F.concat_ws(" ", *[Y.convert(x.col, x.ty, Y.STRING) for x in (code, message)]))
+        stops = Y.convert(condition.col, condition.ty, Y.BOOLEAN) & (F.lower(Y.convert(severity.col, severity.ty, Y.STRING)) == "error")
+        return Typed(F.when(stops, F.raise_error(words).cast(Y.ddl(source.ty)) if source.ty.name not in ("List", "Tuple", "Interval") else F.when(F.raise_error(words).cast("boolean"), source.col)).otherwise(source.col), source.ty)
 
     def on_InValueSet(self, node: Node, env: Env) -> Typed:
         return self.member(self.expr(node.args[0], env), node["value_set"])
@@ -427,13 +444,17 @@ class Compiler:
         return Typed(K.in_code_system(x.col, self.library.code_systems.get(node["code_system"], node["code_system"]), x.ty == Y.CONCEPT), Y.BOOLEAN)
 
     def member(self, x: Typed, name: str) -> Typed:
-        """Membership in a value set's expansion, of a bounded number of codes, as a literal; larger ones by sources.terminology's joins."""
+        """Membership in a value set's expansion: of up to 10,000 codes as a literal, of more by a join of the query over tables that asks."""
         if self.terminology is None:
             return null(Y.BOOLEAN)
         url = self.library.value_sets.get(name, name)
-        rows = self.terminology.expand(url).select("system", "code").distinct().limit(10_001).collect()
-        if len(rows) > 10_000:
-            raise CompileError("the value set is too large for an expression; use a retrieve with it")
+        rows = self.terminology.expand(url).select("system", "code").distinct().limit(MAX_LITERAL_CODES + 1).collect()
+        if len(rows) > MAX_LITERAL_CODES:
+            if self.pending is None or x.ty not in (Y.STRING, Y.CODE):
+                raise CompileError("a value set of so many codes can only be asked for a code in a query over a table; use a retrieve with it")
+            flag = f"_in_value_set_{len(self.pending)}"
+            self.pending.append((x, url, flag))
+            return Typed(F.col(flag), Y.BOOLEAN)
         if x.ty == Y.STRING:
             return Typed(x.col.isin(*[r.code for r in rows]) if rows else F.when(x.col.isNotNull(), F.lit(False)), Y.BOOLEAN)
         keys = F.array(*[F.lit(f"{r.system}\0{r.code}") for r in rows]).cast("array<string>")
@@ -460,7 +481,7 @@ class Compiler:
             return self.call(name, [self.expr(a, env) for a in node.args])
         kind = NAMES.get(name.lower())
         if kind is None:
-            raise CompileError(f"unknown function {name!r}")
+            raise CompileError(f"unknown function {name!r}", 2)
         if (m := re.fullmatch(r"(?i)agein(\w+?)s(at)?", name)) is not None:
             birth = env.names.get("birthDate") or self.identifier("birthDate", env)
             at = self.expr(node.args[0], env) if m[2] else lit(self.now, Y.DATETIME)
@@ -482,12 +503,12 @@ class Compiler:
                 if None not in costs:
                     fitting.append((sum(costs), operands, body))
         if not fitting:
-            raise CompileError(f"no function {name!r} for {', '.join(str(a.ty) for a in args)}")
+            raise CompileError(f"no function {name!r} for {', '.join(str(a.ty) for a in args)}", 2)
         fitting.sort(key=lambda f: f[0])
         if len(fitting) > 1 and fitting[0][0] == fitting[1][0]:
-            raise CompileError(f"more than one function {name!r} fits")
+            raise CompileError(f"more than one function {name!r} fits", 6)
         if f"{name}()" in self.active or len(self.active) > 100:
-            raise CompileError(f"{name!r} calls itself")
+            raise CompileError(f"{name!r} calls itself", 4)
         self.active.append(f"{name}()")
         try:
             bound = {o: Typed(Y.convert(a.col, a.ty, self.type(t)), self.type(t)) for a, (o, t) in zip(args, fitting[0][1], strict=True)}
@@ -499,10 +520,13 @@ class Compiler:
 
     def retrieve(self, node: Node, env: Env) -> Relation:
         if self.retrieve_ is None:
-            raise CompileError("a retrieve needs a catalog")
+            raise ModelError("a retrieve needs a catalog", 3)
         options: dict = {"code_path": node["code_path"]}
-        codes = node["codes"]
-        if codes is not None:
+        codes, comparator = node["codes"], node["comparator"]
+        if codes is not None and comparator in ("=", "~"):
+            options["code"] = self._one_code(codes)
+            options["comparator"] = comparator
+        elif codes is not None:
             if codes.kind == "IdentifierRef" and codes["name"] in self.library.value_sets:
                 options["value_set"] = self.library.value_sets[codes["name"]]
             elif codes.kind == "IdentifierRef" and codes["name"] in self.library.codes:
@@ -513,6 +537,15 @@ class Compiler:
                 options["codes"] = [codes["value"]]
         return self.retrieve_(node["type"], **options)
 
+    def _one_code(self, codes: Node) -> tuple[str, str | None]:
+        """The code and system of a retrieve with ``=`` or ``~``."""
+        if codes.kind == "IdentifierRef" and codes["name"] in self.library.codes:
+            value, system, _ = self.library.codes[codes["name"]]
+            return value, self.library.code_systems.get(system, system)
+        if codes.kind == "Literal":
+            return codes["value"], None
+        raise CompileError("a retrieve with = or ~ needs one code", 3)
+
     def query(self, node: Node, env: Env) -> Typed | Relation:
         sources = [self.any(a, env) for a in node.args]
         if any(isinstance(s, Relation) for s in sources):
@@ -619,12 +652,30 @@ class Compiler:
             on = F.lit(True) if such is None else self.expr(such, base.bind(**{alias: Typed(F.col(f"`{alias}`"), rel.ty)})).col
             df = df.join(part, on, "left_semi" if kind == "with" else "left_anti")
         scope = base
+        outer, self.pending = self.pending, []
+
+        def asked(df: DataFrame) -> DataFrame:
+            """``df`` with the value sets' flags that the last expression needs."""
+            while self.pending:
+                x, url, flag = self.pending.pop(0)
+                code, system = (x.col, None) if x.ty == Y.STRING else (x.col["code"], F.coalesce(x.col["system"], F.lit("")))
+                df = self.terminology.flag_in_value_set(df, code, url, flag, system)
+            return df
+
+        try:
+            return self._relation_clauses(node, df, types, context, env, scope, asked)
+        finally:
+            self.pending = outer
+
+    def _relation_clauses(self, node: Node, df: DataFrame, types: dict, context: str | None, env: Env, scope: Env, asked) -> Relation:
         for n, e in node["lets"] or []:
             v = self.expr(e, scope)
+            df = asked(df)
             df = df.withColumn(f"_let_{n}", v.col)
             scope = scope.bind(**{n: Typed(F.col(f"_let_{n}"), v.ty)})
         if node["where"]:
-            df = df.filter(self.expr(node["where"], scope).col)
+            test = self.expr(node["where"], scope).col
+            df = asked(df).filter(test)
         if node["aggregate"]:
             return self.relation_fold(node, df, scope, env)
         if node["return"]:
@@ -633,17 +684,19 @@ class Compiler:
             out = next(iter(scope.names[a] for a in types))
         else:
             out = Typed(F.struct(*[F.col(f"`{a}`") for a in types]), Y.tuple_of(types))
+        df = asked(df)
         flat = out.ty.name == "Tuple"
         keep = [F.col(context).alias("_context")] if context and context.partition(".")[2] not in (out.ty.fields if flat else ()) and self.context != "Unfiltered" else []
         made = df.select(out.col.alias("_r"), *keep)
         df = made.select(*[F.col("_r").getField(n).alias(n) for n in out.ty.fields], *[k for k in ["_context"] if keep]) if flat else made.withColumnRenamed("_r", "value")
         if node["return"] and node["return"][1]:
             df = df.dropDuplicates()
+        order = []
         if node["sort"]:
             names = {n: Typed(F.col(f"`{n}`"), t) for n, t in zip(out.ty.fields, out.ty.inner, strict=True)} if flat else {"value": Typed(F.col("value"), out.ty)}
             keys = [(self.expr(e, env.bind(**names)).col if e else (F.struct(*[F.col(f"`{c}`") for c in df.columns]) if flat else F.col("value")), up) for e, up in node["sort"]]
-            df = df.orderBy(*[k.asc_nulls_first() if up else k.desc_nulls_last() for k, up in keys])
-        return Relation(df, out.ty, "_context" if keep else context.partition(".")[2] if context and context.partition(".")[2] in (out.ty.fields if flat else ()) else None)
+            df, order = df.orderBy(*[k.asc_nulls_first() if up else k.desc_nulls_last() for k, up in keys]), keys
+        return Relation(df, out.ty, "_context" if keep else context.partition(".")[2] if context and context.partition(".")[2] in (out.ty.fields if flat else ()) else None, order)
 
     def relation_fold(self, node: Node, df: DataFrame, scope: Env, env: Env) -> Relation:
         """Folds over tables need no order only if they are one of the known aggregates: total + x, total * x, and / or."""
@@ -654,9 +707,13 @@ class Compiler:
         v = self.expr(parts[0], scope)
         if distinct:
             df = df.dropDuplicates()
-        agg = {"Add": F.sum, "Multiply": lambda c: F.product(c.cast("double")), "And": F.bool_and, "Or": F.bool_or}[body.kind](v.col)
         begin = self.expr(start, env) if start else null(v.ty)
         total = Typed(F.col("a").cast(Y.ddl(v.ty)), v.ty)
+        if body.kind == "Multiply" and v.ty in (Y.INTEGER, Y.LONG):
+            whole_ = R.product(df.select(v.col.alias("a")), [], "a", "a", Y.ddl(v.ty))
+            joined = OPERATIONS[body.kind](self, begin, Typed(F.coalesce(total.col, F.lit(1).cast(Y.ddl(v.ty))), v.ty))
+            return Relation(whole_.select(joined.col.alias("value")), joined.ty)
+        agg = {"Add": F.sum, "Multiply": G.product, "And": F.bool_and, "Or": F.bool_or}[body.kind](v.col)
         joined = OPERATIONS[body.kind](self, begin, Typed(F.coalesce(total.col, F.lit({"Add": 0, "Multiply": 1, "And": True, "Or": False}[body.kind]).cast(Y.ddl(v.ty))), v.ty))
         return Relation(df.agg(agg.alias("a")).select(joined.col.alias("value")), joined.ty)
 
@@ -694,44 +751,50 @@ def operation(*kinds: str, node: bool = False):
 def same(a: Typed, b: Typed) -> tuple[Column, Column, Ty]:
     ty = Y.common(a.ty, b.ty)
     if ty is None:
-        raise CompileError(f"{a.ty} and {b.ty} don't go together")
+        raise CompileError(f"{a.ty} and {b.ty} don't go together", 3)
     return Y.convert(a.col, a.ty, ty), Y.convert(b.col, b.ty, ty), ty
 
 
 def temporal_quantity(x: Typed, q: Typed, sign: int) -> Typed:
-    if x.ty in Y.PARTIAL:
-        raise CompileError("calendar arithmetic needs a whole date or time")
-    unit = q.col["unit"]
+    if q.ty == Y.ANY:
+        return null(x.ty)
+    if q.ty != Y.QUANTITY:
+        raise CompileError(f"{x.ty} and {q.ty} don't go together", 3)
+    full = Y.PARTIAL.get(x.ty, x.ty)
+    unit = F.lower(F.coalesce(q.col["unit"], F.lit("hour" if full == Y.TIME else "day")))
     out = None
     for p in ("year", "month", "week", "day", "hour", "minute", "second", "millisecond"):
         words = [w for w, u in T.UNITS.items() if u == p]
-        moved = T.add(x.col, q.col["value"] * sign, p, x.ty.name)
-        out = F.when(F.coalesce(unit, F.lit("day")).isin(*words), moved) if out is None else out.when(F.coalesce(unit, F.lit("day")).isin(*words), moved)
-    return Typed(out, x.ty)
+        amount = q.col["value"] * sign
+        moved = T.add_partial(x.col, amount, p, full.name) if x.ty in Y.PARTIAL else T.add(x.col, amount, p, full.name)
+        out = F.when(unit.isin(*words), moved) if out is None else out.when(unit.isin(*words), moved)
+    known = q.col["value"].isNull() | unit.isin(*T.UNITS)
+    wrong = F.when(F.raise_error(F.concat(F.lit("not a unit of time: "), unit)).cast("boolean"), F.lit(None).cast(Y.ddl(x.ty)))
+    return Typed(F.when(~known, wrong).otherwise(out), x.ty, x.offset, x.prec)
 
 
 @operation("Add")
 def add(c: Compiler, a: Typed, b: Typed) -> Typed:
-    if b.ty == Y.QUANTITY and a.ty.name in ("Date", "DateTime", "Time") or a.ty in Y.PARTIAL:
+    if a.ty in (Y.DATE, Y.DATETIME, Y.TIME) or a.ty in Y.PARTIAL:
         return temporal_quantity(a, b, 1)
     x, y, ty = same(a, b)
     if ty == Y.STRING:
         return Typed(S.concatenate(x, y), ty)
     if ty == Y.QUANTITY:
         return Typed(K.add_quantities(x, y), ty)
-    if ty.name == "Interval":
+    if ty.name in ("Interval", "Uncertain"):
         return Typed(I.add(x, y), ty)
     return Typed(A.add(x, y).cast(Y.ddl(ty)), ty)
 
 
 @operation("Subtract")
 def subtract(c: Compiler, a: Typed, b: Typed) -> Typed:
-    if b.ty == Y.QUANTITY and a.ty.name in ("Date", "DateTime", "Time") or a.ty in Y.PARTIAL:
+    if a.ty in (Y.DATE, Y.DATETIME, Y.TIME) or a.ty in Y.PARTIAL:
         return temporal_quantity(a, b, -1)
     x, y, ty = same(a, b)
     if ty == Y.QUANTITY:
         return Typed(K.subtract_quantities(x, y), ty)
-    if ty.name == "Interval":
+    if ty.name in ("Interval", "Uncertain"):
         return Typed(I.subtract(x, y), ty)
     return Typed(A.subtract(x, y).cast(Y.ddl(ty)), ty)
 
@@ -747,7 +810,7 @@ def multiply(c: Compiler, a: Typed, b: Typed) -> Typed:
             return Typed(V.quantity(value, F.when(ub == "1", ua).when(ua == "1", ub).otherwise(F.concat_ws(".", ua, ub))), Y.QUANTITY)
         return Typed(K.multiply_quantity(q.col, n.col), Y.QUANTITY)
     x, y, ty = same(a, b)
-    if ty.name == "Interval":
+    if ty.name in ("Interval", "Uncertain"):
         return Typed(I.multiply(x, y), ty)
     return Typed(A.multiply_decimal(x, y) if ty == Y.DECIMAL else A.multiply(x, y).cast(Y.ddl(ty)), ty)
 
@@ -810,18 +873,30 @@ def round_(c: Compiler, a: Typed, places: Typed | None = None, node: Node | None
     if places is None:
         return Typed(A.round_(x), Y.DECIMAL)
     p = node.args[1]
-    if p.kind == "Literal":
+    if p.kind == "Literal" and p["type"] == "Integer":
         return Typed(A.round_(x, int(p["value"])), Y.DECIMAL)
     return Typed(A.round_(x, Y.convert(places.col, places.ty, Y.INTEGER)), Y.DECIMAL)
 
 
 OPERATIONS |= {
     "Ln": lambda c, a: Typed(A.ln(a.col), Y.DECIMAL), "Exp": lambda c, a: Typed(A.exp(a.col), Y.DECIMAL), "Log": lambda c, a, b: Typed(A.log(a.col, b.col), Y.DECIMAL),
-    "Successor": lambda c, a: Typed(V.quantity(A.successor(a.col["value"], "Decimal"), a.col["unit"]), a.ty) if a.ty == Y.QUANTITY else Typed(A.successor(a.col, a.ty.name), a.ty),
-    "Predecessor": lambda c, a: Typed(V.quantity(A.predecessor(a.col["value"], "Decimal"), a.col["unit"]), a.ty) if a.ty == Y.QUANTITY else Typed(A.predecessor(a.col, a.ty.name), a.ty),
+    "Successor": lambda c, a: step_of(a, 1), "Predecessor": lambda c, a: step_of(a, -1),
 }
 
 
+def step_of(a: Typed, by: int) -> Typed:
+    move = A.successor if by > 0 else A.predecessor
+    if a.ty in Y.PARTIAL:
+        return Typed(T.step_partial(a.col, by, Y.PARTIAL[a.ty].name), a.ty, a.offset, a.prec)
+    if a.ty == Y.QUANTITY:
+        return Typed(V.quantity(move(a.col["value"], "Decimal"), a.col["unit"]), a.ty)
+    if a.ty == Y.ANY:
+        return a
+    if a.ty.name not in A.MINIMUM:
+        raise CompileError(f"{a.ty} has no {'next' if by > 0 else 'previous'} value", 3)
+    return Typed(move(a.col, a.ty.name), a.ty, a.offset)
+
+
 @operation("Precision")
 def precision(c: Compiler, a: Typed) -> Typed:
     if a.ty in Y.PARTIAL:
@@ -855,6 +930,10 @@ def _equal(x: Column, y: Column, ty: Ty) -> Column:
         return T.partial_equal(x, y)
     if ty == Y.QUANTITY:
         return C.equal_quantities(x, y)
+    if ty.name == "Uncertain":
+        return F.when((x["high"] < y["low"]) | (y["high"] < x["low"]), False).when((x["low"] == x["high"]) & (y["low"] == y["high"]), True)
+    if ty.name == "Choice":
+        return F.when(x.isNotNull() & y.isNotNull(), x.eqNullSafe(y))
     if ty == Y.CODE:
         return C.equal_codes(x, y)
     if ty.name == "List":
@@ -906,6 +985,9 @@ def ordered(strict: bool, swap: bool):
         x, y, ty = same(a, b)
         if ty in (Y.BOOLEAN, Y.CODE, Y.CONCEPT) or ty.name in ("List", "Tuple", "Interval"):
             raise CompileError(f"{ty} has no order")
+        if ty.name == "Uncertain":
+            surely, never = (x["high"] < y["low"], x["low"] >= y["high"]) if strict else (x["high"] <= y["low"], x["low"] > y["high"])
+            return Typed(F.when(surely, True).when(never, False), Y.BOOLEAN)
         if ty in Y.PARTIAL:
             return Typed((T.partial_less if strict else T.partial_less_or_equal)(x, y), Y.BOOLEAN)
         if ty == Y.QUANTITY:
@@ -941,11 +1023,7 @@ OPERATIONS["IsNull"] = lambda c, a: Typed(a.col.isNull(), Y.BOOLEAN)
 def coalesce(c: Compiler, *args: Typed) -> Typed:
     if len(args) == 1 and args[0].ty.name == "List":
         return Typed(N.coalesce_list(args[0].col), args[0].ty.inner[0])
-    ty = Y.ANY
-    for a in args:
-        ty = Y.common(ty, a.ty)
-        if ty is None:
-            raise CompileError("Coalesce needs a common type")
+    ty = Y.joint([a.ty for a in args])
     return Typed(N.coalesce(*[Y.convert(a.col, a.ty, ty) for a in args]), ty)
 
 
@@ -991,24 +1069,27 @@ OPERATIONS |= {
 @operation("Date")
 def date_(c: Compiler, *parts: Typed) -> Typed:
     cols = [Y.convert(p.col, p.ty, Y.INTEGER) for p in parts]
-    return Typed(T.date(*cols), Y.DATE) if len(cols) == 3 else Typed(T.partial_date(*cols), Y.P_DATE)
+    return Typed(T.date(*cols), Y.DATE) if len(cols) == 3 else Typed(T.partial_date(*cols), Y.P_DATE, prec=len(cols))
 
 
 @operation("DateTime")
 def date_time(c: Compiler, *parts: Typed) -> Typed:
     parts = list(parts)
-    offset = Y.convert(parts.pop().col, parts[-1].ty, Y.DECIMAL) if len(parts) == 8 else None
+    zone = parts.pop() if len(parts) == 8 else None
+    offset = None if zone is None or zone.ty == Y.ANY else (Y.convert(zone.col, zone.ty, Y.DECIMAL) * 60).cast("int")
+    if offset is not None:
+        offset = F.when(F.abs(offset) <= 840, offset).when(offset.isNotNull(), F.raise_error(F.lit("offset out of range")).cast("int"))
     cols = [Y.convert(p.col, p.ty, Y.INTEGER) for p in parts]
     n = len(cols)
     one, zero = F.lit(1), F.lit(0)
     filled = [*cols, *[one, one, one, zero, zero, zero, zero][n:]]
     lo = T.date_time(*filled)
     if n == 7:
-        return Typed(lo if offset is None else T.add(lo, -(offset * 60).cast("int"), "minute"), Y.DATETIME)
+        return Typed(lo if offset is None else T.add(lo, -F.coalesce(offset, F.lit(0)), "minute"), Y.DATETIME, offset)
     month_end = F.last_day(F.make_date(filled[0], cols[1] if n > 1 else F.lit(12), one))
     day = month_end if n < 3 else F.make_date(*filled[:3])
     hi = T.date_time(F.year(day), F.month(day), F.day(day), *[*cols[3:], *[F.lit(23), F.lit(59), F.lit(59), F.lit(999)][max(n - 3, 0) :]])
-    return Typed(F.when(lo.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(n).cast("tinyint").alias("prec"))), Y.P_DATETIME)
+    return Typed(F.when(lo.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(n).cast("tinyint").alias("prec"))), Y.P_DATETIME, prec=n)
 
 
 @operation("Time")
@@ -1017,7 +1098,7 @@ def time_(c: Compiler, *parts: Typed) -> Typed:
     if len(cols) == 4:
         return Typed(T.time(*cols), Y.TIME)
     hi = T.time(*[*cols, *[F.lit(23), F.lit(59), F.lit(59), F.lit(999)][len(cols) :]])
-    return Typed(F.struct(T.time(*cols).alias("lo"), hi.alias("hi"), F.lit(len(cols) + 3).cast("tinyint").alias("prec")), Y.P_TIME)
+    return Typed(F.struct(T.time(*cols).alias("lo"), hi.alias("hi"), F.lit(len(cols) + 3).cast("tinyint").alias("prec")), Y.P_TIME, prec=len(cols) + 3)
 
 
 @operation("DateFrom")
@@ -1036,7 +1117,12 @@ def time_from(c: Compiler, a: Typed) -> Typed:
     return Typed(T.time_from(a.col), Y.TIME)
 
 
-OPERATIONS |= {"TimezoneOffsetFrom": lambda c, a: Typed(F.when(a.col.isNotNull(), F.lit(0)).cast("decimal(28,8)"), Y.DECIMAL), "TimezoneFrom": lambda c, a: Typed(F.when(a.col.isNotNull(), F.lit("+00:00")), Y.STRING)}
+def zone_of(a: Typed) -> Column:
+    """Minutes east of UTC: what the expression says, else those of the engine, which keeps date-times in UTC."""
+    return F.when(a.col.isNotNull(), F.lit(0) if a.offset is None else F.coalesce(a.offset, F.lit(0)))
+
+
+OPERATIONS |= {"TimezoneOffsetFrom": lambda c, a: Typed(T.timezone_offset(zone_of(a)), Y.DECIMAL), "TimezoneFrom": lambda c, a: Typed(T.timezone_text(zone_of(a)), Y.STRING)}
 
 
 @operation("DateTimeComponentFrom", node=True)
@@ -1066,6 +1152,9 @@ def duration(c: Compiler, a: Typed, b: Typed, node: Node) -> Typed:
         out = F.call_function("div", y - x, F.lit(size)) if node.kind == "DurationBetween" else F.floor(y / size) - F.floor(x / size)
         return Typed(out.cast("int"), Y.INTEGER)
     if ty in Y.PARTIAL:
+        known = [t.prec if t.ty in Y.PARTIAL else {Y.DATE: 3, Y.DATETIME: 7}.get(t.ty) for t in (a, b)]
+        if node.kind == "DurationBetween" and None not in known and (known[0] != known[1] or known[0] < T.COMPONENTS[p]):
+            return Typed(T.partial_duration(x, y, p), Y.UNCERTAIN)
         # A point if both ends of what is known agree; else unknown.
         low, high = f(x["hi"], y["lo"], p), f(x["lo"], y["hi"], p)
         if node.kind == "DifferenceBetween":
@@ -1085,6 +1174,8 @@ def _at(x: Column, ty: Ty, precision: str | None) -> Column:
 @operation("SameAs", "SameOrBefore", "SameOrAfter", "Before", "After", node=True)
 def timing(c: Compiler, a: Typed, b: Typed, node: Node) -> Typed:
     kind, p = node.kind, node["precision"]
+    if p and T.unit(p) == "week":
+        raise CompileError("weeks aren't a precision of dates and times", 3)
     if "Interval" in (a.ty.name, b.ty.name):
         return interval_timing(c, a, b, kind, p)
     x, y, ty = same(a, b)
@@ -1151,8 +1242,8 @@ def contains(c: Compiler, box: Typed, x: Typed, node: Node | None = None) -> Typ
     raise CompileError(f"{box.ty} contains nothing")
 
 
-OPERATIONS |= {"Contains": lambda c, box, x, node: contains(c, box, x, node), "ProperContains": lambda c, box, x: contains(c, box, x), "ProperIn": lambda c, x, box: contains(c, box, x)}
-WITH_NODE.add("Contains")
+OPERATIONS |= {"Contains": lambda c, box, x, node: contains(c, box, x, node), "ProperContains": lambda c, box, x, node: contains(c, box, x, node), "ProperIn": lambda c, x, box, node: contains(c, box, x, node)}
+WITH_NODE |= {"Contains", "ProperContains", "ProperIn"}
 
 
 def both_intervals(a: Typed, b: Typed) -> tuple[Column, Column, str]:
@@ -1212,16 +1303,29 @@ OPERATIONS |= {"Union": set_operator(L.union, I.union, True), "Intersect": set_o
 
 @operation("Collapse")
 def collapse(c: Compiler, a: Typed, per: Typed | None = None) -> Typed:
-    return Typed(I.collapse(a.col, a.ty.inner[0].inner[0].name), a.ty)
+    kind = a.ty.inner[0].inner[0].name
+    if per is None or per.ty == Y.ANY:
+        return Typed(I.collapse(a.col, kind), a.ty)
+    step, unit = per_step(per, kind)
+    return Typed(I.collapse_per(a.col, step, kind, unit), a.ty)
+
+
+def per_step(per: Typed, kind: str) -> tuple[Column, str | None]:
+    """The value of a ``per`` quantity in the points' own type, and the unit that it names."""
+    if per.ty != Y.QUANTITY:
+        raise CompileError("per needs a quantity", 3)
+    value = per.col["value"]
+    value = value if kind == "Decimal" or kind == "Quantity" else value.cast("int")
+    return value, per.unit
 
 
 @operation("Expand")
 def expand(c: Compiler, a: Typed, per: Typed | None = None) -> Typed:
-    step = 1 if per is None else per.col["value"].cast("int")
+    kind = (a.ty.inner[0] if a.ty.name == "Interval" else a.ty.inner[0].inner[0]).name
+    step, unit = (1, None) if per is None or per.ty == Y.ANY else per_step(per, kind)
     if a.ty.name == "Interval":
-        return Typed(I.expand(a.col, step, a.ty.inner[0].name), Y.list_of(a.ty.inner[0]))
-    kind = a.ty.inner[0].inner[0].name
-    return Typed(F.flatten(F.transform(a.col, lambda i: I.expand_intervals(i, step, kind))), a.ty)
+        return Typed(I.expand(a.col, step, kind, unit), Y.list_of(a.ty.inner[0]))
+    return Typed(F.flatten(F.transform(a.col, lambda i: I.expand_intervals(i, step, kind, unit))), a.ty)
 
 
 def of_list(f, out: Ty | None = None):
@@ -1278,11 +1382,18 @@ def statistic(f, decimal: bool, quantity: bool = True):
 
 OPERATIONS |= {
     "Sum": statistic(lambda a: F.when(F.exists(a, lambda x: x.isNotNull()), F.aggregate(F.filter(a, lambda x: x.isNotNull()), F.lit(0).cast("decimal(38,8)"), lambda t, x: (t + x).cast("decimal(38,8)"))), False),
-    "Product": statistic(lambda a: F.when(F.exists(a, lambda x: x.isNotNull()), F.aggregate(F.filter(a, lambda x: x.isNotNull()), F.lit(1.0), lambda t, x: t * x.cast("double"))), False),
+    "Product": lambda c, a: product_of(a),
     "Avg": statistic(L.avg, True), "Median": statistic(L.median, True), "GeometricMean": statistic(L.geometric_mean, True), "Variance": statistic(L.variance, True), "StdDev": statistic(L.std_dev, True),
     "PopulationVariance": statistic(L.population_variance, True), "PopulationStdDev": statistic(L.population_std_dev, True),
 }
 
+def product_of(a: Typed) -> Typed:
+    """Exact: of whole numbers in longs, which raise where they overflow; of decimals to 8 places at each step."""
+    element = a.ty.inner[0] if a.ty.name == "List" else Y.ANY
+    one, times = (F.lit(1).cast("bigint"), lambda t, x: t * x.cast("bigint")) if element in (Y.INTEGER, Y.LONG) else (F.lit(1).cast("decimal(28,8)"), A.multiply_decimal)
+    return statistic(lambda v: F.when(F.exists(v, lambda x: x.isNotNull()), F.aggregate(F.filter(v, lambda x: x.isNotNull()), one, times)), False)(None, a)
+
+
 # Conversions.
 
 
@@ -1313,8 +1424,13 @@ def _plain(x: Column) -> Column:
 def to_string(c: Compiler, a: Typed) -> Typed:
     if a.ty == Y.DECIMAL:
         return Typed(_plain(a.col), Y.STRING)
+    if a.ty == Y.DATETIME and a.offset is not None:
+        local = T.add(a.col, F.coalesce(a.offset, F.lit(0)), "minute")
+        return Typed(F.concat(V.to_string(local, "DateTime"), F.when(a.offset.isNotNull(), T.timezone_text(a.offset)).otherwise("")), Y.STRING)
     if a.ty in (Y.QUANTITY, Y.DATETIME, Y.TIME):
         return Typed(V.to_string(a.col, a.ty.name), Y.STRING)
+    if a.ty.name == "Choice":
+        return Typed(F.coalesce(*[to_string(c, Typed(a.col[f"c{i}"], t)).col for i, t in enumerate(a.ty.inner)]), Y.STRING)
     if a.ty in Y.PARTIAL:
         whole = F.date_format(a.col["lo"], "yyyy-MM-dd'T'HH:mm:ss.SSS") if a.ty != Y.P_TIME else V.to_string(a.col["lo"], "Time")
         sizes = F.array(*[F.lit(n) for n in ((4, 7, 10, 13, 16, 19, 23) if a.ty != Y.P_TIME else (0, 0, 0, 2, 5, 8, 12))])
@@ -1340,9 +1456,7 @@ def to_temporal(ty: Ty):
             return Typed(V.to_partial_date(x), Y.P_DATE)
         if ty == Y.TIME:
             return Typed(V.to_time(x), Y.TIME)
-        day = V.to_partial_date(x)
-        stamp = F.when(F.regexp_like(x, F.lit(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$")), x.try_cast("timestamp").cast("timestamp_ntz"))
-        return Typed(F.coalesce(Y.convert(stamp, Y.DATETIME, Y.P_DATETIME), Y.convert(day, Y.P_DATE, Y.P_DATETIME)), Y.P_DATETIME)
+        return Typed(V.to_partial_date_time(x), Y.P_DATETIME, V.offset_minutes(x))
 
     return run
 
@@ -1412,7 +1526,7 @@ RELATIONAL |= {
     "Count": table_aggregate(F.count, Y.INTEGER, 0), "Sum": table_aggregate(F.sum, None), "Min": table_aggregate(F.min, None), "Max": table_aggregate(F.max, None), "Avg": table_aggregate(G.avg, Y.DECIMAL),
     "Median": table_aggregate(G.median, Y.DECIMAL), "Mode": table_aggregate(G.mode, None), "Variance": table_aggregate(G.variance, Y.DECIMAL), "StdDev": table_aggregate(G.std_dev, Y.DECIMAL),
     "PopulationVariance": table_aggregate(G.population_variance, Y.DECIMAL), "PopulationStdDev": table_aggregate(G.population_std_dev, Y.DECIMAL), "GeometricMean": table_aggregate(G.geometric_mean, Y.DECIMAL),
-    "Product": table_aggregate(F.product, None), "AllTrue": table_aggregate(G.all_true, Y.BOOLEAN, True), "AnyTrue": table_aggregate(G.any_true, Y.BOOLEAN, False),
+    "AllTrue": table_aggregate(G.all_true, Y.BOOLEAN, True), "AnyTrue": table_aggregate(G.any_true, Y.BOOLEAN, False),
     "Exists": table_aggregate(lambda x: F.count(F.lit(1)) > 0, Y.BOOLEAN, False), "Distinct": lambda c, rel, node, env: Relation(rel.df.dropDuplicates(), rel.ty, rel.context),
 }
 
@@ -1434,4 +1548,29 @@ def table_property(c: Compiler, rel: Relation, node: Node, env: Env) -> Relation
 
 
 RELATIONAL |= {"Union": table_set(R.union), "Intersect": table_set(R.intersect), "Except": table_set(R.except_), "Property": table_property}
-RELATIONAL["First"] = lambda c, rel, node, env: Relation(rel.df.limit(1), rel.ty, rel.context)
+
+
+def table_end(last: bool):
+    """The first or last row in the order of the rows, in a context one for each member; without an order any row."""
+
+    def run(c: Compiler, rel: Relation, node: Node, env: Env) -> Relation:
+        keys = [(k.desc_nulls_last() if up else k.asc_nulls_first()) if last else (k.asc_nulls_first() if up else k.desc_nulls_last()) for k, up in rel.order]
+        if rel.context and c.context != "Unfiltered":
+            return Relation(R.best_per(rel.df, [rel.context], keys or [F.col(rel.context).asc()]), rel.ty, rel.context, rel.order)
+        return Relation((rel.df.orderBy(*keys) if keys else rel.df).limit(1), rel.ty, rel.context, rel.order)
+
+    return run
+
+
+def table_product(c: Compiler, rel: Relation, node: Node, env: Env) -> Relation:
+    """Of whole numbers exact, else to double precision."""
+    if rel.ty not in (Y.INTEGER, Y.LONG):
+        return table_aggregate(G.product, None)(c, rel, node, env)
+    by = [rel.context] if rel.context and c.context != "Unfiltered" else []
+    out = R.product(rel.df, by, "value", "_product", Y.ddl(rel.ty))
+    made = Relation(out.select(*[F.col(k).alias("_context") for k in by], F.col("_product").alias("value")), rel.ty, "_context" if by else None)
+    made.empty = None
+    return made
+
+
+RELATIONAL |= {"First": table_end(False), "Last": table_end(True), "Product": table_product}

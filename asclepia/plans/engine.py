@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 from decimal import Decimal
 from pathlib import Path
 
@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asclepia.plans import types as Y
-from asclepia.plans.compiler import CompileError, Compiler, Env, Relation, Typed
+from asclepia.plans.compiler import Compiler, Env, Relation, Typed
+from asclepia.plans.errors import CompileError, ModelError, SettingError, evaluating
 from asclepia.plans.lang import Library, parse_expression, parse_library
 from asclepia.sources.catalog import Catalog
 
@@ -28,17 +29,17 @@ class Engine:
         """A host function: typed columns to a typed column."""
         self.host[name] = f
 
-    def _retrieve(self, name: str, codes=None, value_set=None, code_path=None) -> Relation:
+    def _retrieve(self, name: str, **options) -> Relation:
         if self.catalog is None:
-            raise CompileError("no catalog")
-        df = self.catalog.retrieve(name, codes=codes, value_set=value_set, code_path=code_path)
+            raise ModelError("no catalog", 3)
+        df = self.catalog.retrieve(name, **options)
         return Relation(df, Y.tuple_of({f.name: Y.of_spark(f.dataType) for f in df.schema.fields}), self.catalog.tables[name].context)
 
     def _compiler(self, library: Library | None, parameters: dict | None, including: tuple[str, ...] = ()) -> Compiler:
         libraries = {}
         for alias, (path, version) in (library.includes if library else {}).items():
             if path in including:
-                raise CompileError(f"libraries include each other: {' -> '.join([*including, path])}")
+                raise CompileError(f"libraries include each other: {' -> '.join([*including, path])}", 4)
             libraries[alias] = self._compiler(self._find(path, version), parameters, (*including, path))
         out = Compiler(library, self._retrieve, self.now, parameters, libraries, self.catalog.terminology if self.catalog else None)
         out.host = self.host
@@ -50,7 +51,7 @@ class Engine:
         for n in names:
             if self.library_path and (p := Path(self.library_path) / n).exists():
                 return parse_library(p.read_text())
-        raise CompileError(f"no file for library {name!r}")
+        raise SettingError(f"no file for library {name!r}", 1)
 
     def compile(self, library: str | Library, parameters: dict | None = None) -> Compiled:
         lib = parse_library(library) if isinstance(library, str) else library
@@ -61,17 +62,23 @@ class Engine:
 
     def evaluate(self, text: str, **options):
         """The Python value of one expression; a table gives its rows."""
-        out = self.expression(text, **options)
-        if isinstance(out, Relation):
-            return [r[0] if out.ty.name != "Tuple" else r.asDict(True) for r in out.df.collect()]
-        return self.spark.range(1).select(out.col.alias("v")).first()[0]
+        with evaluating():
+            out = self.expression(text, **options)
+            if isinstance(out, Relation):
+                return [r[0] if out.ty.name != "Tuple" else r.asDict(True) for r in out.df.collect()]
+            return self.spark.range(1).select(out.col.alias("v")).first()[0]
 
     def text(self, expression: str, **options) -> str:
         """The value of one expression as the language writes it."""
-        out = self.expression(expression, **options)
-        if isinstance(out, Relation):
-            return render([r[0] if out.ty.name != "Tuple" else r for r in out.df.collect()], Y.list_of(out.ty))
-        return render(self.spark.range(1).select(out.col.alias("v")).first()[0], out.ty)
+        with evaluating():
+            out = self.expression(expression, **options)
+            if isinstance(out, Relation):
+                return render([r[0] if out.ty.name != "Tuple" else r for r in out.df.collect()], Y.list_of(out.ty))
+            offset = F.lit(None).cast("int") if out.offset is None else out.offset
+            value, minutes = self.spark.range(1).select(out.col.alias("v"), offset.alias("o")).first()
+            if value is None or minutes is None or out.ty not in (Y.DATETIME, Y.P_DATETIME):
+                return render(value, out.ty)
+            return local(value, out.ty, minutes)
 
 
 class Compiled:
@@ -97,10 +104,22 @@ class Compiled:
         return {n: self.evaluate(n) for n, d in self.library.definitions.items() if d.access == "Public"}
 
 
+def local(value, ty: Y.Ty, minutes: int) -> str:
+    """A date-time in its own zone, with that zone."""
+    shift = timedelta(minutes=minutes)
+    moved = value + shift if ty == Y.DATETIME else {"lo": value["lo"] + shift, "hi": value["hi"] + shift, "prec": value["prec"]}
+    text = render(moved, ty)
+    return text if text.endswith("T") else f"{text}{'-' if minutes < 0 else '+'}{abs(minutes) // 60:02d}:{abs(minutes) % 60:02d}"
+
+
 def render(value, ty: Y.Ty) -> str:
     """The language's text of a value: lists in braces, strings in quotes, L for longs, @ before temporals."""
     if value is None:
         return "null"
+    if ty.name == "Choice":
+        return next((render(value[f"c{i}"], t) for i, t in enumerate(ty.inner) if value[f"c{i}"] is not None), "null")
+    if ty == Y.UNCERTAIN:
+        return str(value["low"]) if value["low"] == value["high"] else f"Interval[{value['low']}, {value['high']}]"
     if ty.name == "List":
         return "{" + ", ".join(render(v, ty.inner[0]) for v in value) + "}" if value else "{}"
     if ty.name == "Tuple":
@@ -115,6 +134,11 @@ def render(value, ty: Y.Ty) -> str:
         return f"{value}L"
     if ty == Y.DECIMAL:
         return number(value)
+    if ty == Y.CODE:
+        return "Code { " + ", ".join(f"{n}: {render(value[n], Y.STRING)}" for n in ("code", "system", "version", "display") if value[n] is not None) + " }"
+    if ty == Y.CONCEPT:
+        codes = [render(c, Y.CODE) for c in value["codes"] or []]
+        return "Concept { codes: " + (codes[0] if len(codes) == 1 else "{" + ", ".join(codes) + "}") + (f", display: {render(value['display'], Y.STRING)}" if value["display"] is not None else "") + " }"
     if ty == Y.QUANTITY:
         return f"{number(value['value'])} '{value['unit'] or '1'}'"
     if ty == Y.DATE:

@@ -25,6 +25,8 @@ DATE, DATETIME, TIME, QUANTITY, RATIO, CODE, CONCEPT = (Ty(n) for n in ("Date",
 P_DATE, P_DATETIME, P_TIME = (Ty(n) for n in ("PartialDate", "PartialDateTime", "PartialTime"))
 PARTIAL = {P_DATE: DATE, P_DATETIME: DATETIME, P_TIME: TIME}
 NUMBERS = (INTEGER, LONG, DECIMAL)
+#: A whole number of which only the range is known.
+UNCERTAIN = Ty("Uncertain", (INTEGER,))
 
 _SPARK = {
     "Any": "string", "Boolean": "boolean", "Integer": "int", "Long": "bigint", "Decimal": "decimal(28,8)", "String": "string", "Date": "date", "DateTime": "timestamp_ntz", "Time": "int",
@@ -47,7 +49,34 @@ def tuple_of(fields: dict[str, Ty]) -> Ty:
     return Ty("Tuple", tuple(fields.values()), tuple(fields))
 
 
+def choice_of(types) -> Ty:
+    """One of several types; choices inside are taken apart, and a choice of one is that one."""
+    flat: list[Ty] = []
+    for t in types:
+        flat += [x for x in (t.inner if t.name == "Choice" else (t,)) if x not in flat and x != ANY]
+    return flat[0] if len(flat) == 1 else Ty("Choice", tuple(flat)) if flat else ANY
+
+
+def joint(types: list[Ty]) -> Ty:
+    """The type that all convert to, or else a choice of them."""
+    out = ANY
+    for t in types:
+        if out is not None:
+            out = common(out, t)
+    return choice_of(types) if out is None else out
+
+
+def chosen(col: Column, choice: Ty, ty: Ty) -> Column:
+    """What a choice holds, if it is of type ``ty`` or a number that converts to it; else null."""
+    fits = [convert(col[f"c{i}"], t, ty) for i, t in enumerate(choice.inner) if cost(t, ty) is not None]
+    return F.coalesce(*fits) if fits else F.lit(None).cast(ddl(ty))
+
+
 def ddl(t: Ty) -> str:
+    if t.name == "Choice":
+        return f"struct<{','.join(f'c{i}:{ddl(x)}' for i, x in enumerate(t.inner))}>"
+    if t == UNCERTAIN:
+        return ddl(interval_of(INTEGER))
     if t.name == "List":
         return f"array<{ddl(t.inner[0])}>"
     if t.name == "Interval":
@@ -89,6 +118,13 @@ def cost(a: Ty, b: Ty) -> int | None:
         return 0
     if a == ANY:
         return 100
+    if b.name == "Choice":
+        mine = a.inner if a.name == "Choice" else (a,)
+        return 3 if all(x in b.inner for x in mine) else None
+    if a.name == "Choice":
+        return None
+    if b == UNCERTAIN:
+        return 4 if a == INTEGER else None
     if a.name == b.name and a.inner and len(a.inner) == len(b.inner):
         parts = [cost(x, y) for x, y in zip(a.inner, b.inner, strict=True)]
         return None if None in parts else sum(parts)
@@ -118,6 +154,11 @@ def convert(col: Column, a: Ty, b: Ty) -> Column:
     """A column of type ``a`` as a ``b`` that it converts to implicitly."""
     if a == b:
         return col
+    if b.name == "Choice" and a != ANY:
+        mine = {t: col[f"c{i}"] for i, t in enumerate(a.inner)} if a.name == "Choice" else {a: col}
+        return F.when(col.isNotNull(), F.struct(*[(mine[t] if t in mine else F.lit(None).cast(ddl(t))).alias(f"c{i}") for i, t in enumerate(b.inner)]))
+    if b == UNCERTAIN and a == INTEGER:
+        return F.when(col.isNotNull(), F.struct(col.alias("low"), col.alias("high"), F.lit(True).alias("lowClosed"), F.lit(True).alias("highClosed")))
     if b in PARTIAL and a in PARTIAL and a != b:  # a date among date-times: from its first to its last moment
         last = col["hi"].cast("timestamp_ntz") + F.expr("interval '0 23:59:59.999' day to second")
         return F.when(col.isNotNull(), F.struct(col["lo"].cast("timestamp_ntz").alias("lo"), last.alias("hi"), col["prec"].alias("prec")))

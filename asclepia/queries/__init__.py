@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from asclepia.queries import relational, scalars
+from asclepia.queries import language, relational, scalars
 
-QUERIES = scalars.QUERIES | relational.QUERIES
-ORACLES = scalars.ORACLES | relational.ORACLES
+QUERIES = scalars.QUERIES | relational.QUERIES | language.QUERIES
+ORACLES = scalars.ORACLES | relational.ORACLES | language.ORACLES

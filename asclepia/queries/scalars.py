@@ -266,7 +266,7 @@ def register() -> None:
     add("conv_to_integer", "part", {"r": (lambda: V.to_integer(odd()), f"TRY_CAST({so} AS INT)"), "f": (lambda: V.integer_from_number(c("p_retailprice")), "trunc(p_retailprice)::INT"), "frac": (lambda: V.to_integer(lit("1.5")), "NULL::INT")})
     add("conv_to_long", "part", {"r": (lambda: V.to_long(odd()), f"TRY_CAST({so} AS BIGINT)")})
     add("conv_to_decimal", "part", {"r": (lambda: D(V.to_decimal(c("p_retailprice").cast("string"))), d("p_retailprice")), "bad": (lambda: D(V.to_decimal(n)), "NULL::DOUBLE")})
-    add("conv_to_string", "part", {"r": (lambda: V.to_string(c("p_size")), "p_size::VARCHAR"), "q": (lambda: V.to_string(V.quantity(c("p_size"), "mg"), "Quantity"), "p_size || '.0 ''mg'''"), "t": (lambda: V.to_string(c("p_size") * 60000, "Time"), "'00:' || lpad(p_size::VARCHAR, 2, '0') || ':00.000'")})
+    add("conv_to_string", "part", {"r": (lambda: V.to_string(c("p_size")), "p_size::VARCHAR"), "q": (lambda: V.to_string(V.quantity(c("p_size"), "mg"), "Quantity"), "p_size || ' ''mg'''"), "t": (lambda: V.to_string(c("p_size") * 60000, "Time"), "'00:' || lpad(p_size::VARCHAR, 2, '0') || ':00.000'")})
     add("conv_to_date", "part", {"r": (lambda: V.to_date(day()).cast("string"), f"strftime(TRY_CAST({sd} AS DATE), '%Y-%m-%d')"), "p": (lambda: V.to_partial_date(lit("2001-02"))["hi"].cast("string"), "'2001-02-28'")})
     add("conv_to_date_time", "part", {"r": (lambda: F.date_format(V.to_date_time(F.concat(day(), lit("T10:00:00"))), "yyyy-MM-dd HH:mm:ss"), f"strftime(TRY_CAST({sd} || ' 10:00:00' AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')")})
     add("conv_to_time", "part", {"r": (lambda: V.to_time(F.concat(lit("T10:"), F.lpad(c("p_size").cast("string"), 2, "0"))).cast("bigint"), "((600 + p_size) * 60000)::BIGINT"), "bad": (lambda: V.to_time(n), "NULL::INT")})

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from asclepia.plans.errors import ModelError
 from asclepia.sources.terminology import Terminology
 
 
@@ -20,6 +21,7 @@ class Table:
     code_path: str | None = None
     date_path: str | None = None
     system_path: str | None = None
+    id_path: str | None = None
 
 
 @dataclass
@@ -41,33 +43,57 @@ class Catalog:
 
     def retrieve(
         self, name: str, codes: list[str] | None = None, value_set: str | None = None, date_range: tuple | None = None,
-        code_path: str | None = None, date_path: str | None = None, context: list | None = None,
+        code_path: str | None = None, date_path: str | None = None, context: list | DataFrame | None = None, code: tuple[str, str | None] | None = None, comparator: str = "~", ids: list | None = None, id_path: str | None = None,
     ) -> DataFrame:
-        """Rows of a type: with a code among ``codes`` or in a value set, with a date within a closed range, of given contexts."""
+        """Rows of a type: with a code among ``codes`` or in a value set, with a date within a closed range, of given contexts or ids.
+
+        ``code`` is one code and its system: ``~`` compares code and system, ``=`` also asks that the system, where the rows have one, is known.
+        Contexts may be a list, or a frame of one column for a population of any size. A type that isn't there is an error; :func:`nothing` gives rows of none.
+        """
         if name not in self.tables:
-            raise KeyError(f"no such type: {name}")
+            raise ModelError(f"no such type: {name}", 1)
         t = self.tables[name]
         df = t.load()
-        code, date = code_path or t.code_path, date_path or t.date_path
+        own, date = code_path or t.code_path, date_path or t.date_path
         if codes is not None:
-            df = df.filter(_path(df, code).isin(*codes))
+            df = df.filter(_path(df, own).isin(*codes))
         if value_set is not None:
             if self.terminology is None:
-                raise ValueError("a value set needs a terminology")
-            df = self.terminology.in_value_set(df, _path(df, code), value_set, _path(df, t.system_path) if t.system_path else None)
+                raise ModelError("a value set needs a terminology", 3)
+            df = self.terminology.in_value_set(df, _path(df, own), value_set, _path(df, t.system_path) if t.system_path else None)
+        if code is not None:
+            path = code_path or t.code_path
+            df = df.filter(_path(df, path) == code[0])
+            system = F.col(t.system_path) if t.system_path else _system(df, path)
+            if code[1] is not None and system is not None:
+                df = df.filter((system == code[1]) if comparator == "=" else system.eqNullSafe(F.lit(code[1])))
+        if ids is not None:
+            df = df.filter(F.col(id_path or t.id_path or t.context).isin(*ids))
         if date_range is not None:
             low, high = date_range
             d = _path(df, date)
             df = df.filter(F.lit(True) if low is None else d >= low).filter(F.lit(True) if high is None else d <= high)
-        if context is not None:
+        if isinstance(context, DataFrame):
+            df = df.join(context.select(F.col(context.columns[0]).alias("_population")).dropDuplicates(), F.col(t.context) == F.col("_population"), "left_semi")
+        elif context is not None:
             df = df.filter(F.col(t.context).isin(*context))
         return df
 
 
+def nothing(spark: SparkSession, schema) -> Callable[[], DataFrame]:
+    """A source without rows, for a type that has no data."""
+    return lambda: spark.createDataFrame([], schema)
+
+
+def _system(df: DataFrame, path: str | None) -> Column | None:
+    kind = df.select(F.col(path).alias("x")).schema["x"].dataType
+    return F.col(path)["system"] if "system" in (getattr(kind, "names", None) or ()) else None
+
+
 def _path(df: DataFrame, path: str | None) -> Column:
     """A dotted path; a struct with a code stands for its code."""
     if path is None:
-        raise ValueError("the type has no such path")
+        raise ModelError("the type has no such path", 2)
     kind = df.select(F.col(path).alias("x")).schema["x"].dataType
     return F.col(path)["code"] if getattr(kind, "names", None) and "code" in kind.names else F.col(path)
 

@@ -49,6 +49,11 @@ class Terminology:
     def in_code_system(self, df: DataFrame, system: Column, uri: str) -> DataFrame:
         return df.filter(system == uri)
 
-    def with_display(self, df: DataFrame, code: Column, name: str = "display") -> DataFrame:
-        shown = self.expansion.groupBy(F.col("code").alias("_vs_code")).agg(F.min("display").alias(name))
-        return df.join(shown, code == F.col("_vs_code"), "left").drop("_vs_code")
+    def with_display(self, df: DataFrame, code: Column, name: str = "display", system: Column | None = None) -> DataFrame:
+        """The display of each row's code, of its ``system`` if given; of several, or without a system of several systems', the first."""
+        keys = [F.col("code").alias("_vs_code")] + ([F.col("system").alias("_vs_system")] if system is not None else [])
+        shown = self.expansion.groupBy(*keys).agg(F.min("display").alias(name))
+        on = code == F.col("_vs_code")
+        if system is not None:
+            on = on & (system == F.col("_vs_system"))
+        return df.join(shown, on, "left").drop("_vs_code", "_vs_system")
