@@ -1,8 +1,11 @@
 """Command line: execute, translate, validate, repl.
 
-    python -m asclepia execute library.cql --data /path/to/tables [--define NAME] [--param name=value] [--format json|table]
-    python -m asclepia translate library.cql
-    python -m asclepia validate library.cql
+    python -m asclepia execute library.cql --data /path/to/tables [--define NAME] [--param name=value] [--format json|pretty|table]
+    python -m asclepia translate library.cql [--format json|xml]
+    python -m asclepia validate library.cql [--data /path/to/tables]
+
+Errors go to the error stream with their code, and the exit status is 1. ``validate`` parses, and with --data also compiles each definition.
+A parameter's value is an expression of the language (3, 2.5, 'text', @2024-01-01, { 1, 2 }, 5 'mg'); what isn't one is a string.
     python -m asclepia repl
 """
 
@@ -14,17 +17,20 @@ import sys
 from pathlib import Path
 
 from asclepia.plans import elm
-from asclepia.plans.lang import SyntaxProblem, parse_library
+from asclepia.plans.errors import QueryError, SettingError
+from asclepia.plans.lang import SyntaxProblem, parse_expression, parse_library
 
 
 def _parameter(text: str):
-    name, _, value = text.partition("=")
-    for convert in (int, float):
-        try:
-            return name, convert(value)
-        except ValueError:
-            pass
-    return name, {"true": True, "false": False, "null": None}.get(value, value.strip("'\""))
+    """Name and value of name=value; the value is a tree, or a string if it isn't an expression."""
+    name, found, value = text.partition("=")
+    if not found or not name.strip():
+        raise SettingError(f"not name=value: {text!r}", 2)
+    try:
+        node = parse_expression(value)
+    except SyntaxProblem:
+        return name.strip(), value
+    return name.strip(), value if node.kind == "IdentifierRef" else node
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -34,22 +40,30 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--data")
     parser.add_argument("--define", action="append")
     parser.add_argument("--param", action="append", default=[])
-    parser.add_argument("--format", choices=["json", "table"], default="json")
+    parser.add_argument("--format", choices=["json", "pretty", "table", "xml"], default="json")
     args = parser.parse_args(argv)
     try:
-        library = parse_library(Path(args.file).read_text()) if args.file else None
-    except SyntaxProblem as e:
+        return run(args)
+    except (QueryError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
-    if args.command == "validate":
-        print(f"{len(library.definitions)} definitions" if library.definitions else "warning: no definitions")
-        return 0
+
+
+def run(args: argparse.Namespace) -> int:
+    library = parse_library(Path(args.file).read_text()) if args.file else None
+    if library is None and args.command != "repl":
+        raise SettingError(f"{args.command} needs a file")
     if args.command == "translate":
-        print(json.dumps({"library": {"identifier": {"id": library.name, "version": library.version}, "statements": {n: elm.dump(d.body) for n, d in library.definitions.items()}}}, indent=2))
+        print(elm.xml(library) if args.format == "xml" else json.dumps(elm.export(library), indent=2))
+        return 0
+    if args.command == "validate" and not args.data:
+        print(f"{len(library.definitions)} definitions" if library.definitions else "warning: no definitions")
         return 0
     from pyspark.sql import SparkSession
 
-    from asclepia.plans.engine import Engine
+    from asclepia.plans.compiler import Compiler, Env, Relation
+    from asclepia.plans.engine import Engine, render
+    from asclepia.plans.lang import Node
     from asclepia.sources.catalog import test_tables
 
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
@@ -64,12 +78,31 @@ def main(argv: list[str] | None = None) -> int:
             except Exception as e:  # noqa: BLE001  a prompt goes on after any error
                 print(f"error: {e}")
         return 0
-    compiled = engine.compile(library, dict(map(_parameter, args.param)))
+    parameters = {n: Compiler(now=engine.now).expr(v, Env()) if isinstance(v, Node) else v for n, v in map(_parameter, args.param)}
+    compiled = engine.compile(library, parameters)
+    if args.command == "validate":
+        wrong = 0
+        for name in library.definitions:
+            try:
+                compiled.compiler.definition(name)
+            except QueryError as e:
+                wrong += 1
+                print(f"error: {name}: {e}", file=sys.stderr)
+        print(f"{len(library.definitions)} definitions, {wrong} with errors")
+        return int(wrong > 0)
     for name in args.define or library.definitions:
         df = compiled.evaluate(name)
         if args.format == "table":
             print(name)
             df.show(truncate=False)
+        elif args.format == "pretty":
+            made = compiled.compiler.definition(name)
+            if isinstance(made, Relation):
+                print(f"{name}:")
+                for row in df.toLocalIterator():
+                    print("  " + ", ".join(f"{k}: {v}" for k, v in row.asDict().items()))
+            else:
+                print(f"{name}: {render(df.first()[0], made.ty)}")
         else:
             for row in df.toJSON().toLocalIterator():
                 print(json.dumps({"define": name, "row": json.loads(row)}))

@@ -33,7 +33,10 @@ def date(year: Column, month: Column, day: Column) -> Column:
 
 
 def date_time(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, ms: Column | None = None) -> Column:
-    seconds = second.cast("decimal(16,6)") if ms is None else (second + ms / 1000.0).cast("decimal(16,6)")
+    seconds = second.cast("decimal(16,6)")
+    if ms is not None:
+        right = F.when(ms.between(0, 999), ms).when(ms.isNotNull(), F.raise_error(F.lit("time out of range")).cast("int"))
+        seconds = (second + right / 1000.0).cast("decimal(16,6)")
     return F.make_timestamp_ntz(year, month, day, hour, minute, seconds)
 
 

@@ -769,7 +769,7 @@ def temporal_quantity(x: Typed, q: Typed, sign: int) -> Typed:
         moved = T.add_partial(x.col, amount, p, full.name) if x.ty in Y.PARTIAL else T.add(x.col, amount, p, full.name)
         out = F.when(unit.isin(*words), moved) if out is None else out.when(unit.isin(*words), moved)
     known = q.col["value"].isNull() | unit.isin(*T.UNITS)
-    wrong = F.when(F.raise_error(F.concat(F.lit("not a unit of time: "), unit)).cast("boolean"), F.lit(None).cast(Y.ddl(x.ty)))
+    wrong = F.raise_error(F.concat(F.lit("not a unit of time: "), unit)).cast(Y.ddl(x.ty))
     return Typed(F.when(~known, wrong).otherwise(out), x.ty, x.offset, x.prec)
 
 

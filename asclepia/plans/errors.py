@@ -24,9 +24,10 @@ class QueryError(Exception):
 
 
 class SyntaxProblem(QueryError, ValueError):
-    """Text that isn't of the language, with the place. 1: an unexpected character, 2: another word expected."""
+    """Text that isn't of the language, with the place. 1: an unexpected character, 2: an unexpected word or end."""
 
-    first = 0
+    def __init__(self, message: str, number: int = 2) -> None:
+        super().__init__(message, number)
 
 
 class CompileError(QueryError, ValueError):
