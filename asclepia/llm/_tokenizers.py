@@ -1,8 +1,8 @@
 """The tokenizers library over chunks that it can never join: each distinct chunk of a batch is encoded once.
 
 A whole text's ids are the chunks' ids in order whenever the cuts are where the library's own pre-tokenizer always cuts.
-Most chunks of a corpus repeat, so that looking up a chunk costs a dictionary access instead of an encoding. Arrow cuts and counts
-the chunks of a batch, so that Python only sees the distinct ones. What a worker remembers is bounded in chunks and in
+Most chunks of a corpus repeat, so that looking up a chunk costs less than encoding it. Arrow cuts and counts the chunks of a batch and
+finds those that are known, so that Python only sees the new ones. What a worker remembers is bounded in chunks and in
 characters: beyond that it keeps the half that was used most.
 """
 
@@ -123,6 +123,54 @@ class Chunks(dict):
         return self.flat.all[at]
 
 
+class KnownChunks:
+    """The same for Arrow arrays of distinct chunks: what is remembered is an Arrow array, too, a tenth of a dictionary's size."""
+
+    def __init__(self, encode, most: int = MAX_CHUNKS, most_chars: int = MAX_CHARS) -> None:
+        self.encode, self.most, self.most_chars = encode, most, most_chars
+        self._reset(pa.array([], pa.string()))
+
+    def _reset(self, chunks: pa.Array) -> None:
+        self.chunks, self.flat, self.starts, self.used = chunks, Growing(np.uint32), Growing(np.int64), Growing(np.int64)
+        self.starts.extend(np.zeros(1, np.int64))
+
+    def numbers(self, chunks: pa.Array, uses: np.ndarray) -> np.ndarray:
+        """Their numbers, and new ones are encoded; ``uses`` says how often each is used."""
+        found = pc.index_in(chunks, value_set=self.chunks)
+        new = chunks.filter(found.is_null())
+        out = found.fill_null(-1).to_numpy().astype(np.int64)
+        if len(new):
+            out[out < 0] = np.arange(len(self.chunks), len(self.chunks) + len(new))
+            flat, sizes = self.encode(new.to_pylist())
+            self.flat.extend(flat)
+            self.starts.extend(self.starts.all[-1] + np.cumsum(sizes))
+            self.used.extend(np.zeros(len(new), np.int64))
+            self.chunks = pa.concat_arrays([self.chunks, new])
+        self.used.all[out] += uses
+        return out
+
+    def trim(self) -> None:
+        """Forgets the half that was used least, once there are too many; numbers change."""
+        chars = pc.binary_length(self.chunks).to_numpy().astype(np.int64)
+        if len(chars) <= self.most and chars.sum() <= self.most_chars:
+            return
+        order = np.argsort(-self.used.all, kind="stable")[: self.most // 2]
+        kept = np.sort(order[np.cumsum(chars[order]) <= self.most_chars // 2])
+        starts = self.starts.all
+        sizes = starts[kept + 1] - starts[kept]
+        flat, used, chunks = spread(self.flat.all, starts[kept], sizes), self.used.all[kept] // 2, self.chunks.take(pa.array(kept))
+        self._reset(chunks)
+        self.flat.extend(flat)
+        self.starts.extend(np.cumsum(sizes))
+        self.used.extend(used)
+
+
+def spread(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of ``flat`` from ``starts`` on, one after the other."""
+    at = np.arange(int(sizes.sum()), dtype=np.int64)
+    return flat[at + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
+
+
 #: Where a space has other white space beside it; only there a cut before a space may be wrong. What patterns call \s, and four separators.
 _SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]".encode().decode("unicode_escape")
 _TOUCHING = f" {_SPACE}|{_SPACE} "
@@ -147,8 +195,8 @@ def cut_at_spaces(texts: pa.Array, single: bool) -> tuple[pa.Array, np.ndarray,
     return flat, counts, np.concatenate([np.flatnonzero(~touching), np.flatnonzero(touching)])
 
 
-def byte_level_chunks(path: str) -> Chunks:
-    """Ids of chunks that follow a space, by the library; a chunk after the mark NUL stands for itself."""
+def byte_level_chunks(path: str) -> KnownChunks:
+    """Ids of chunks that follow a space, by the library."""
     key = ("byte-level", path)
     if key not in _loaded:
         t = tokenizer(path)
@@ -157,26 +205,26 @@ def byte_level_chunks(path: str) -> Chunks:
 
         def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
             # Behind a space, a chunk without one begins with its only token that begins with a space; so many go in one text.
-            together = [i for i, c in enumerate(chunks) if c and c[0] != "\0" and " " not in c and not c[0].isspace() and not c[-1].isspace()]
+            together = [i for i, c in enumerate(chunks) if c and " " not in c and not c[0].isspace() and not c[-1].isspace()]
             texts = [" " + " ".join([chunks[i] for i in together[a : a + TOGETHER]]) for a in range(0, len(together), TOGETHER)]
             found = [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
             ids = np.concatenate(found) if found else np.empty(0, np.uint32)
-            sizes = np.zeros(len(chunks), np.int64)
             at = np.append(np.flatnonzero(spaced[ids]), len(ids))
+            sizes = np.zeros(len(chunks), np.int64)
             sizes[together] = np.diff(at)
             if len(together) == len(chunks):
                 return ids, sizes
             alone = sorted(set(range(len(chunks))).difference(together))
-            rest = t.encode_batch_fast([chunks[i][1:] if chunks[i].startswith("\0") else " " + chunks[i] for i in alone], add_special_tokens=False)
-            out: list = [None] * len(chunks)
-            for k, i in enumerate(together):
-                out[i] = ids[at[k] : at[k + 1]]
-            for i, e in zip(alone, rest, strict=True):
-                out[i] = np.array(e.ids, np.uint32)
-                sizes[i] = len(out[i])
-            return np.concatenate(out), sizes
-
-        _loaded[key] = Chunks(encode)
+            rest = [np.array(e.ids, np.uint32) for e in t.encode_batch_fast([" " + chunks[i] for i in alone], add_special_tokens=False)]
+            sizes[alone] = [len(x) for x in rest]
+            out = np.zeros(int(sizes.sum()), np.uint32)
+            lone = np.zeros(len(chunks), bool)
+            lone[alone] = True
+            of = np.repeat(lone, sizes)
+            out[of], out[~of] = np.concatenate(rest), ids
+            return out, sizes
+
+        _loaded[key] = KnownChunks(encode)
     return _loaded[key]
 
 
@@ -184,22 +232,25 @@ def encode_texts(path: str, texts: pa.Array) -> list[np.ndarray]:
     """Each text's ids as the library gives them for the whole text, without added special tokens; null as empty.
 
     The library's byte-level pattern always cuts before a single space between two other characters: a match that ends there has no
-    white space at its end, and the next one starts with the space.
+    white space at its end, and the next one starts with the space. The chunk that a text begins with follows no space and is encoded by itself.
     """
-    chunks = byte_level_chunks(path)
+    if not len(texts):
+        return []
+    known = byte_level_chunks(path)
     flat, counts, owners = cut_at_spaces(pc.fill_null(texts, ""), single=True)
+    first = np.cumsum(counts) - counts
+    heads = [np.array(e.ids, np.uint32) for e in tokenizer(path).encode_batch_fast(flat.take(pa.array(first)).to_pylist(), add_special_tokens=False)]
     coded = flat.dictionary_encode()
     index = coded.indices.to_numpy()
-    values = coded.dictionary.to_pylist()
-    # A later chunk that itself starts with NUL gets its space in front, behind the mark of a whole chunk.
-    values = ["\0 " + v if v[:1] == "\0" else v for v in values]
-    first = np.cumsum(counts) - counts
-    heads = ["\0" + v for v in flat.take(pa.array(first)).to_pylist()]
-    numbers = chunks.numbers(values, np.bincount(index, minlength=len(values)))[index]
-    numbers[first] = chunks.numbers(heads)
-    ids = chunks.values(numbers)
-    ends = np.concatenate([[0], np.cumsum(chunks.sizes(numbers))])[np.cumsum(counts)]
-    chunks.trim()
+    uses = np.bincount(index, minlength=len(coded.dictionary))
+    numbers = known.numbers(coded.dictionary, uses)
+    starts, sizes = known.starts.all[numbers], np.diff(known.starts.all)[numbers]
+    starts, sizes = starts[index], sizes[index]
+    of_heads = np.array([len(x) for x in heads])
+    starts[first], sizes[first] = known.flat.n + np.cumsum(of_heads) - of_heads, of_heads
+    ids = spread(np.concatenate([known.flat.all, *heads]), starts, sizes)
+    ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+    known.trim()
     out: list = [None] * len(owners)
     for i, a, b in zip(owners.tolist(), np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
         out[i] = ids[a:b]

@@ -26,6 +26,8 @@ from asclepia.llm._tokenizers import encode_texts, tokenizer
 
 MAGIC, HEAD = b"ATOK1\0\0\0", "<8sIIQQQ"
 BLOCK_IDS = 1 << 16
+#: Texts that are cut and looked up together.
+TOGETHER_ROWS, TOGETHER_BYTES = 2_000, 8 << 20
 #: A shard is closed at the first document that takes it over this many ids.
 SHARD_IDS = 8 << 20
 
@@ -141,6 +143,18 @@ class Shard:
             k = upto
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER_ROWS, size: int = TOGETHER_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The two columns of batches put together up to about so many rows or bytes: the more texts, the fewer distinct chunks each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield tuple(pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+            held = []
+    if held:
+        yield tuple(pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str = "byte_bpe_50k.json", end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every whole text, appends ``end_id`` (none if None), and writes shards in ascending doc_id order.
 
@@ -163,8 +177,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str = "byte_bpe_5
             n_docs, n_ids, n_bytes = w.close()
             return pa.RecordBatch.from_pydict({"part": [part], "shard": [k], "path": [w.uri], "docs": [n_docs], "ids": [n_ids], "bytes": [n_bytes]}, schema=out)
 
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_texts(tokenizer_path, batch.column(1)), strict=True):
+        for ids_of, texts in gathered(batches):
+            for doc_id, ids in zip(ids_of.to_pylist(), encode_texts(tokenizer_path, texts), strict=True):
                 writer = writer or ShardWriter(folder, f"part-{part:06d}-{shard:04d}.tok", bits)
                 writer.add(doc_id, np.concatenate([ids, ending]))
                 if writer.n >= SHARD_IDS:

@@ -299,6 +299,28 @@ def test_chunk_memory_is_bounded(most, most_chars):
     assert len(chunks) > 0
 
 
+@pytest.mark.parametrize("most,most_chars", [(30, 1 << 20), (1 << 20, 60)])
+def test_known_chunks_are_bounded(most, most_chars):
+    from asclepia.llm._tokenizers import KnownChunks, spread
+
+    known = KnownChunks(lambda cs: (np.array([ord(x) for c in cs for x in c], np.uint32), np.array([len(c) for c in cs])), most, most_chars)
+    for k in range(20):
+        words = list(dict.fromkeys(["often", *[f"w{(k * 7 + i) % 60}" for i in range(25)], "x" * 100, ""]))
+        n = known.numbers(pa.array(words), np.array([9, *[1] * (len(words) - 1)]))
+        starts = known.starts.all
+        assert spread(known.flat.all, starts[n], np.diff(starts)[n]).tolist() == [ord(x) for w in words for x in w]
+        known.trim()
+        assert len(known.chunks) <= most and len("".join(known.chunks.to_pylist())) <= most_chars
+    assert "often" in known.chunks.to_pylist()
+
+
+def test_long_texts_to_ids():
+    rnd = random.Random(4)
+    texts = ["x" * 300_000, "ab " * 100_000, "\n" * 50_000 + "a", " " * 30_000, "".join(rnd.choice(["a", " ", "é", "中", "\0"]) for _ in range(100_000)), None]
+    want = [e.ids for e in tokenizer("byte_bpe_50k.json").encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in encode_texts("byte_bpe_50k.json", pa.array(texts))] == want and encode_texts("byte_bpe_50k.json", pa.array([], pa.string())) == []
+
+
 # 5. WARC.
 
 
@@ -958,3 +980,53 @@ def test_pipeline(spark):
     final = corpus_pipeline.run(spark, sf)
     assert final.count() == len(texts[4])
     assert all(bpe_codec.decode("byte_bpe_multi_50k.tiktoken", r.ids) == t.encode() for r, (i, t) in zip(sorted(final.collect(), key=lambda r: r.doc_id), sorted(texts[4]), strict=True))
+
+
+def test_pipeline_edge(spark, edge, empty, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, clashing names: each stage by brute force; then empty tables."""
+    import corpus_pipeline
+
+    clash = {c: F.lit(c) for c in ("_metadata", "_file", "_row", "_at_file", "_gone_row", "_mix_copies", "d", "band", "head", "target", "log_weight", "taken", "text_sha256")}
+    long = spark.createDataFrame([(100, "very long " * 60_000, "s1", "en"), (101, "very long " * 60_000 + "end", "s1", "en"), (102, "y" * 1_000_000, "s2", None)], EDGE).withColumns(CLASH())
+    docs = edge.unionByName(long).withColumns(clash)
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (8, 0, 0), (None, 1, None), (3, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    at = f"{tmp_path}/a"
+    seen = [spark.read.parquet(f"{at}/documents.parquet")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        seen.append(corpus_pipeline.written(stage(spark, seen[-1], at), "edge-stage"))
+        assert seen[-1].columns == docs.columns, name
+    rows = [[(r.doc_id, r.text) for r in s.select("doc_id", "text").collect()] for s in seen]
+    assert Counter(rows[1]) == Counter(rows[0])  # one good and one bad label are not enough to reject anything
+    lowered = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    groups = {}
+    for i, t in rows[1]:
+        groups.setdefault(lowered(t), []).append(-1 if i is None else i)
+    assert Counter((-1 if i is None else i, lowered(t)) for i, t in rows[2]) == Counter((max(g), t) for t, g in groups.items())
+    known = [(10**9 if i is None else i, t) for i, t in rows[2]]
+    assert sorted(10**9 if i is None else i for i, _ in rows[3]) == sorted(min(c) for c in brute_force(known))
+    assert set(rows[4]) <= set(rows[3]) and all(re.search(mixing.WORD, t or "") for _, t in rows[4])
+    final = corpus_pipeline.run(spark, at).collect()
+    assert Counter(r.doc_id for r in final) == Counter(i for i, _ in rows[4])
+    empty.write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_long_texts(spark):
+    """Texts of half a million words and of one word of a million letters, through every operator on texts."""
+    texts = ["lorem ipsum dolor " * 170_000, "z" * 1_000_000, "Ä" * 300_000 + " \n" * 100_000, None]
+    docs = _base.written(spark.createDataFrame([(i, t, f"s{i % 2}", "en") for i, t in enumerate(texts)], EDGE), "long")
+    assert {r.doc_id: r.text_sha256 for r in exact_dedup.exact_dedup(docs).collect()} == {i: hashlib.sha256("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode()).hexdigest() for i, t in enumerate(texts)}
+    assert {r.doc_id: r.size for r in mixing.mix(docs).collect()} == {i: len(re.findall(mixing.WORD, t or "")) for i, t in enumerate(texts)}
+    codec = bpe_codec.codec("byte_bpe_multi_50k.tiktoken")
+    assert all(bytes(r.decoded) == (texts[r.doc_id] or "").encode() for r in bpe_codec.encoded_documents(docs, columns=("decoded",)).collect()) and codec
+    words = tokenizer("word_bpe_49k.json")
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()} == {i: len(words.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    ids = tokenizer("byte_bpe_50k.json")
+    assert {r.doc_id: r.n_tokens for r in token_store.stored_tokens(docs).collect()} == {i: len(ids.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    assert {r.doc_id: r.payload_sha256 for r in media_mpeg.stored_media(docs).collect()} == {i: hashlib.sha256((raw := (t or "").encode()) + bytes(-len(raw) % 64 or (0 if raw else 64))).hexdigest() for i, t in enumerate(texts)}
+    weights = {r.doc_id: r.log_weight for r in quality.classified(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")).collect()}
+    assert len(weights) == 4 and weights[3] == 0
+    assert {r.doc_id: r.class_size for r in near_dup.near_duplicates(docs).collect()} == {0: 1, 1: 1, 2: 1, 3: 1}
+    assert {r.doc_id: r.lang_pred for r in language_id.identified(docs).collect()}[3] == "und"
