@@ -757,7 +757,7 @@ def idf_reference(counts, known):
     """idf of each shingle, of those rarer than 1 / ``known`` of all pairs as if they had just that."""
     df = Counter(s for c in counts for s in c)
     least = max(1, -(-df.total() // known))
-    return {s: 1 + math.log((1 + len(counts)) / (1 + max(n, least))) for s, n in df.items()}
+    return {s: 1 + math.log((1 + len(counts)) / (1 + min(max(n, least), len(counts)))) for s, n in df.items()}
 
 
 def weighted_jaccard(a, b):
@@ -780,7 +780,7 @@ def brute_force(rows, similar=0.8, known=near_dup.KNOWN):
 
     for a in range(len(rows)):
         for b in range(a):
-            if find(a) != find(b) and (bool(vectors[a]) == bool(vectors[b])) and (not vectors[a] or not vectors[a].keys().isdisjoint(vectors[b])) and weighted_jaccard(vectors[a], vectors[b]) >= similar:
+            if find(a) != find(b) and (bool(vectors[a]) == bool(vectors[b])) and (not vectors[a] or not vectors[a].keys().isdisjoint(vectors[b])) and weighted_jaccard(vectors[a], vectors[b]) >= similar - 1e-9:
                 parent[find(a)] = find(b)
     return classes((rows[k][0], find(k)) for k in range(len(rows)))
 
@@ -821,6 +821,21 @@ def test_near_duplicates_with_hot_keys(spark, docs, monkeypatch):
     assert len(got) == len(rows) and classes((r.doc_id, r.class_id) for r in got) == brute_force(rows)
 
 
+def test_links_at_exactly_the_threshold(spark, monkeypatch):
+    """Pairs of texts that share 4 of 5 shingles, or 40 of 50, all of one weight, whatever the order of sums."""
+    monkeypatch.setattr(near_dup, "KNOWN", 100)
+    rows = []
+    for k in range(40):
+        n = 4 if k % 2 else 40  # n of 9n / 8 shingles shared each: n / (n + n / 8 + n / 8) = 0.8
+        words = [f"t{k}x{i}" for i in range(n + n // 4 + 4)]
+        rows += [(2 * k, " ".join(words[: n + n // 8 + 4] if n == 40 else words[:8] + ["q"])), (2 * k + 1, " ".join(words[n // 8 : n + n // 4 + 4] if n == 40 else words[:8]))]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    counts = [shingle_counts(t) for _, t in rows]
+    idf = idf_reference(counts, 100)
+    want = [abs(weighted_jaccard(*({s: n * idf[s] for s, n in counts[i + j].items()} for j in (0, 1))) - 0.8) < 1e-12 for i in range(0, len(rows), 2)]
+    assert sum(want) == 40 and all(got[rows[2 * k][0]] == got[rows[2 * k + 1][0]] for k, w in enumerate(want) if w)
+
+
 def test_near_duplicates_of_long_and_repeated_rows(spark):
     long = " ".join(f"v{i * i % 9973}" for i in range(300_000))
     rows = [(1, long), (2, long + " more"), (3, "a b"), (3, "a b"), (3, "a b"), (4, "a  B!"), (5, "b a"), (6, "x" * 3_000_000), (7, "x" * 3_000_000 + " y"), (8, long[: len(long) // 2])]
@@ -829,7 +844,7 @@ def test_near_duplicates_of_long_and_repeated_rows(spark):
     assert sum(r.kept for r in got) == 6
 
 
-@pytest.mark.parametrize("known", [1 << 16, 1 << 9, 1 << 6])
+@pytest.mark.parametrize("known", [1 << 16, 1 << 9, 1 << 6, 2])
 def test_shingle_frequencies(spark, docs, monkeypatch, known):
     """Both passes, over many chunks, give each frequent shingle its df in all documents."""
     monkeypatch.setattr(near_dup, "KNOWN", known)
@@ -842,7 +857,7 @@ def test_shingle_frequencies(spark, docs, monkeypatch, known):
     least = max(1, -(-df.total() // known))
     frequent = {int(near_dup.shingles_of(word_hashes([b" ".join(s).decode()])[0])[0][0]): n for s, n in df.items() if n >= least}
     assert {int(s): round(math.expm1(math.log1p(len(texts)) + 1 - v)) for s, v in zip(got.shingles, got.values, strict=True)} == frequent
-    assert abs(got.rare - 1 - math.log((1 + len(texts)) / (1 + least))) < 1e-12 and len(frequent) <= known
+    assert abs(got.rare - 1 - math.log((1 + len(texts)) / (1 + min(least, len(texts))))) < 1e-12 and len(frequent) <= known and got.rare >= 1
 
 
 PLAIN = near_dup.Idf(np.empty(0, np.uint64), np.empty(0), 1.0)
