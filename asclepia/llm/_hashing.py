@@ -25,7 +25,7 @@ def powers(n: int) -> np.ndarray:
 
 
 def classes(punctuation: bool) -> np.ndarray:
-    """1 for bytes of words (ASCII letters, digits, underscore, all beyond ASCII), 2 for other visible bytes or 0, 0 for space."""
+    """1 for bytes of words (ASCII letters, digits, underscore, all beyond ASCII), 2 for other visible bytes, 0 for the rest."""
     out = np.zeros(256, np.uint8)
     for b in range(256):
         if b >= 128 or chr(b).isalnum() or chr(b) == "_":

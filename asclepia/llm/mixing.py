@@ -34,30 +34,38 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with rank, the place of its source in code-point order from 0 on, null last: sorted in ranges, no task has all."""
+    last = F.col("source").asc_nulls_last()
+    ordered = sizes.repartitionByRange(last).sortWithinPartitions(last)
+    rows = written(ordered.withColumn("_at", F.monotonically_increasing_id()), "mix-ordered")
+    part = F.shiftright("_at", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))
+    ranked = rows.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return ranked.withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """Adds target to one row per source (source, source_size): the weights' shares of all words, none above
     ``most`` times its source, the excess shared again by weight until none is above.
 
-    That fixed point in closed form: by ascending cap / weight, the sources whose cap is below the level that the others
-    would get are capped; the rest gets the level times its weight. One row per source, so a window over all is small.
+    A source is capped if its weight's share at the level that the others get is above its cap. The level rises as sources are capped; each
+    round is one aggregation, until no more are. Caps and weights are whole numbers, so sums don't depend on their order.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    by_level = W.orderBy("full", "rank")
-    before = by_level.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy(F.lit(1))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    rows = sizes.withColumn("rank", F.row_number().over(order) - 1).withColumn("weight", weight)
-    rows = rows.withColumn("cap", (F.col("source_size") * most).cast("double")).withColumn("full", F.col("cap") / F.col("weight"))
-    rows = rows.withColumns({
-        "total": F.sum("source_size").over(everything).cast("double"), "weights": F.sum("weight").over(everything),
-        "capped_before": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "weight_before": F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
-    })
-    rows = rows.withColumn("level", (F.col("total") - F.col("capped_before")) / (F.col("weights") - F.col("weight_before")))
-    # The level that holds is that of the first source that isn't capped at its own level.
-    final = F.min(F.when(F.col("full") > F.col("level"), F.struct("full", "rank", "level"))).over(everything)["level"]
-    return rows.withColumn("final", final).select(
-        "source", "source_size", F.least("cap", F.coalesce(F.col("final") * F.col("weight"), F.col("cap"))).alias("target")
-    )
+    rows = _ranked(sizes.select("source", "source_size")).withColumn("weight", weight).withColumn("cap", (F.col("source_size") * most).cast("double"))
+    total, left = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("double"), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    level = 0.0
+    while left:
+        now = F.col("cap") <= F.lit(level) * F.col("weight")
+        capped, left = rows.agg(F.coalesce(F.sum(F.when(now, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~now, F.col("weight"))), F.lit(0.0))).first()
+        if not left or (total - capped) / left <= level:
+            break
+        level = (total - capped) / left
+    share = F.least("cap", F.lit(level) * F.col("weight")) if left else F.col("cap")
+    return rows.select("source", "source_size", share.alias("target"))
 
 
 def _let(value: Column, body) -> Column:

@@ -124,6 +124,17 @@ def test_mixing(edge, docs, empty):
     assert sorted((r.doc_id, r.taken) for r in mixing.mix(docs).collect()) == sorted((r.doc_id, r.taken) for r in out)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 3_000])
+def test_targets_of_many_sources(spark, n):
+    """Order by code point, null last, and the fixed point of shares and caps, in many ranges."""
+    rnd = random.Random(n)
+    sizes = {rnd.choice(["", "Z", "a", "é", "\U0001f600", "\uffee"]) + str(i): rnd.choice([0, 1, 50, rnd.randrange(10_000), 10**9]) for i in range(n)} | ({None: 77} if n > 2 else {})
+    frame = spark.createDataFrame([*sizes.items()], "source string, source_size long").repartition(5)
+    got = {r.source: r.target for r in mixing.targets(frame).collect()}
+    want = targets(sizes) if sizes else {}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-6 * (1 + want[s]) for s in want)
+
+
 def test_mixing_many_blocks(spark):
     df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(id % 7 + 1 as int))").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("source"))
     got = mixing.mix(df).groupBy((F.col("doc_id") % 3 == 0).alias("hot")).agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
