@@ -105,7 +105,8 @@ def range_join(a: DataFrame, b: DataFrame, a_low: str, a_high: str, b_low: str,
     side = [(a.withColumn(a_own, _level(F.col(a_low).cast("double"), F.col(a_high).cast("double"), width)), a_own, a_low, a_high)]
     right = b.select(*[F.col(f"`{c}`").alias(f"_r_{c}") for c in b.columns])
     side.append((right.withColumn("_own_r", _level(F.col(f"_r_{b_low}").cast("double"), F.col(f"_r_{b_high}").cast("double"), width)), "_own_r", f"_r_{b_low}", f"_r_{b_high}"))
-    levels = [sorted(df.agg(F.collect_set(own)).first()[0]) for df, own, _, _ in side]
+    seen = reduce(DataFrame.union, [df.select(F.lit(i).alias("side"), F.col(own).alias("level")) for i, (df, own, _, _) in enumerate(side)]).distinct().collect()  # at most LEVELS + 1 for each side
+    levels = [sorted(r.level for r in seen if r.side == i) for i in (0, 1)]
     dealt = []
     for (df, own, low, high), mine, others, at in zip(side, levels, reversed(levels), (a_at, "_at_r"), strict=True):
         right_way = F.coalesce(F.col(low) <= F.col(high), F.lit(True))
