@@ -871,6 +871,40 @@ def test_shingle_frequencies(spark, docs, monkeypatch, known):
     assert abs(got.rare - 1 - math.log((1 + len(texts)) / (1 + min(least, len(texts))))) < 1e-12 and len(frequent) <= known and got.rare >= 1
 
 
+def test_rare_shingles_weigh_by_their_own_df(spark):
+    """Of 300,000 pairs of texts and shingles, those of a df from 1 to 5 weigh differently: one link is by that too weak, one strong enough."""
+    run = lambda name, n: [f"{name}{i}" for i in range(n)]
+    s, t = run("s", 43), run("t", 44)
+    rows = [(0, run("a", 5) + t), (1, run("b", 5) + t), (2, run("p", 5) + s), (3, run("q", 5) + s)]
+    for k in range(300):
+        rows.append((10 + k, run("p" if k < 3 else "q", 5) + s[:4] + run(f"f{k}x", 1_000) if k < 6 else run(f"f{k}x", 1_000)))
+    rows = [(i, " ".join(words)) for i, words in rows]
+    counts = [shingle_counts(x) for _, x in rows]
+    similar = {}
+    for known in (1 << 62, 1 << 16):
+        idf = idf_reference(counts, known)
+        similar[known] = [weighted_jaccard(*({x: n * idf[x] for x, n in counts[i + j].items()} for j in (0, 1))) > 0.8 - 1e-9 for i in (0, 2)]
+    assert similar == {1 << 62: [False, True], 1 << 16: [True, False]}
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i, _ in rows} | {3: 2}
+
+
+def test_each_text_has_the_df_of_its_shingles(spark, docs, monkeypatch):
+    """Over many chunks and parts, and with repeated rows."""
+    monkeypatch.setattr(near_dup, "CHUNK", 2_000)
+    seen = []
+    monkeypatch.setattr(near_dup, "_linked", lambda led, texts, *rest, f=near_dup._linked: (seen.extend(texts.collect()), f(led, texts, *rest))[1])
+    rows = edited_copies(docs)
+    assert near_dup.near_duplicates(spark.createDataFrame(rows + rows[:50], "doc_id long, text string")).count() == len(rows) + 50
+    df = Counter()
+    for _, text in rows + rows[:50]:
+        df.update({int(x) for x in near_dup.shingles_of(word_hashes([text])[0])[0]})
+    assert len(seen) > 50
+    for r in seen:
+        shingles = near_dup.shingles_of(word_hashes([r.text])[0])[0]
+        assert near_dup._numbers(bytes(r.df), len(shingles)).tolist() == [df[int(x)] for x in shingles]
+
+
 PLAIN = near_dup.Idf(np.empty(0, np.uint64), np.empty(0), 1.0)
 
 
