@@ -871,14 +871,18 @@ def test_shingle_frequencies(spark, docs, monkeypatch, known):
     assert abs(got.rare - 1 - math.log((1 + len(texts)) / (1 + min(least, len(texts))))) < 1e-12 and len(frequent) <= known and got.rare >= 1
 
 
-def test_rare_shingles_weigh_by_their_own_df(spark):
-    """Of 300,000 pairs of texts and shingles, those of a df from 1 to 5 weigh differently: one link is by that too weak, one strong enough."""
+def rows_with_rare_shingles():
+    """Of 300,000 pairs of texts and shingles: 0 and 1 are linked if all with a df up to 5 weigh alike, 2 and 3 if each weighs by its own."""
     run = lambda name, n: [f"{name}{i}" for i in range(n)]
     s, t = run("s", 43), run("t", 44)
     rows = [(0, run("a", 5) + t), (1, run("b", 5) + t), (2, run("p", 5) + s), (3, run("q", 5) + s)]
     for k in range(300):
         rows.append((10 + k, run("p" if k < 3 else "q", 5) + s[:4] + run(f"f{k}x", 1_000) if k < 6 else run(f"f{k}x", 1_000)))
-    rows = [(i, " ".join(words)) for i, words in rows]
+    return [(i, " ".join(words)) for i, words in rows]
+
+
+def test_rare_shingles_weigh_by_their_own_df(spark):
+    rows = rows_with_rare_shingles()
     counts = [shingle_counts(x) for _, x in rows]
     similar = {}
     for known in (1 << 62, 1 << 16):
@@ -1042,6 +1046,14 @@ def test_pipeline(spark):
     assert all(bpe_codec.decode("byte_bpe_multi_50k.tiktoken", r.ids) == t.encode() for r, (i, t) in zip(sorted(final.collect(), key=lambda r: r.doc_id), sorted(texts[4]), strict=True))
 
 
+def test_pipeline_weighs_rare_shingles_by_their_own_df(spark):
+    import corpus_pipeline
+
+    rows = rows_with_rare_shingles()
+    got = corpus_pipeline.dissimilar_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == [i for i, _ in rows if i != 3]
+
+
 def test_pipeline_edge(spark, edge, empty, tmp_path):
     """Nulls, empty and long texts, ties, repeated rows, clashing names: each stage by brute force; then empty tables."""
     import corpus_pipeline
