@@ -1046,6 +1046,26 @@ def test_pipeline(spark):
     assert all(bpe_codec.decode("byte_bpe_multi_50k.tiktoken", r.ids) == t.encode() for r, (i, t) in zip(sorted(final.collect(), key=lambda r: r.doc_id), sorted(texts[4]), strict=True))
 
 
+def test_stages_begin_with_a_full_collection(spark, monkeypatch):
+    import corpus_pipeline
+
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    before = sum(b.getCollectionCount() for b in beans)
+    _base.trimmed(spark)
+    assert sum(b.getCollectionCount() for b in beans) > before
+
+    class Begun(Exception):
+        pass
+
+    def begun(spark):
+        raise Begun
+
+    monkeypatch.setattr(corpus_pipeline, "trimmed", begun)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Begun):
+            stage(spark, None, "")
+
+
 def test_pipeline_weighs_rare_shingles_by_their_own_df(spark):
     import corpus_pipeline
 
