@@ -161,6 +161,23 @@ def test_range_join_by_brute_force(spark):
     assert len(long.select(R._dealt(R._level(F.col("lo"), F.col("hi"), 1), F.col("lo"), F.col("hi"), 1, [0], list(range(R.LEVELS))).alias("x")).first().x) <= R.SPAN + 2
 
 
+def test_range_join_of_many_rows_of_one_interval(spark, monkeypatch):
+    """Rows of one interval are joined as arrays, and a hot bucket's pairs come from a grid of parts: none is lost or comes twice, repeated rows count."""
+    monkeypatch.setattr(R, "ROWS", 8)
+    monkeypatch.setattr(R, "PAIRS", 50)
+    rnd = random.Random(3)
+    a, b = ([(i // 2, i % 2, 10, 11) for i in range(60)] * 2 + [(100 + i, i % 2, rnd.choice([None, rnd.randrange(20)]), rnd.choice([None, 20 + rnd.randrange(3_000)])) for i in range(20)] for _ in range(2))
+    left, right = spark.createDataFrame(a, "i int, k int, lo int, hi int"), spark.createDataFrame(b, "j int, k int, lo int, hi int")
+    overlap = lambda p, q: all(x is None or y is None or x <= y for x, y in ((p[2], q[3]), (q[2], p[3])))
+    for on in (None, ["k"]):
+        joined = R.range_join(left, right, "lo", "hi", "lo", "hi", 2, on)
+        assert joined.columns == ["i", "k", "lo", "hi", "j"]
+        got = sorted((r.i, r.j) for r in joined.collect())
+        assert got == sorted((p[0], q[0]) for p in a for q in b if overlap(p, q) and (on is None or p[1] == q[1]))
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
+
+
 def test_product(spark):
     rows = [("a", 3), ("a", -4), ("a", None), ("b", 0), ("b", 10**9), ("b", 10**18), ("c", None), (None, 1), (None, -1), ("d", 2)] + [("e", 2)] * 62 + [("f", 1)] * 1_000 + [("z", 0)] + [("z", 5)] * 100
     got = {r.k: r["product"] for r in R.product(spark.createDataFrame(rows, "k string, x long"), ["k"], "x").collect()}
