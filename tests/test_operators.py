@@ -178,6 +178,18 @@ def test_range_join_of_many_rows_of_one_interval(spark, monkeypatch):
     assert plan.index("Generate") < plan.index("Join")
 
 
+def test_expand_evaluates_its_interval_once(spark):
+    """However many points an interval has, its bounds are evaluated once: the plan names the interval's check once, in queries of the language too."""
+    from asclepia.queries import QUERIES
+
+    i = I.interval(F.col("id").cast("int"), F.col("id").cast("int") + 3)
+    df = spark.range(3).select(I.expand(i).alias("v"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("invalid interval") <= 1
+    assert [r.v for r in df.orderBy("v").collect()] == [[k, k + 1, k + 2, k + 3] for k in range(3)]
+    plan = QUERIES["ivl_expand_units"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("invalid interval") <= 10
+
+
 def test_product(spark):
     rows = [("a", 3), ("a", -4), ("a", None), ("b", 0), ("b", 10**9), ("b", 10**18), ("c", None), (None, 1), (None, -1), ("d", 2)] + [("e", 2)] * 62 + [("f", 1)] * 1_000 + [("z", 0)] + [("z", 5)] * 100
     got = {r.k: r["product"] for r in R.product(spark.createDataFrame(rows, "k string, x long"), ["k"], "x").collect()}
