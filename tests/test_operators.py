@@ -190,6 +190,17 @@ def test_expand_evaluates_its_interval_once(spark):
     assert plan.count("invalid interval") <= 10
 
 
+def test_expand_makes_whole_numbers_by_a_sequence(spark):
+    """No function runs for each whole number; at the types' ends nothing overflows, and a null bound or a step that isn't above 0 gives null."""
+    rows = [(2147483640, 2147483647, 3), (-2147483648, -2147483645, 2), (5, 5, 9), (5, 6, 9), (None, 3, 1), (1, None, 1), (1, 3, 0), (1, 3, -1), (1, 3, None)]
+    df = spark.createDataFrame(rows, "low int, high int, step int").select("low", "high", "step", I.expand(I.interval(F.col("low"), F.col("high")), F.col("step")).alias("v"))
+    got = [r.v for r in df.collect()]
+    assert got == [[2147483640, 2147483643], [-2147483648, -2147483646], [], [], None, None, None, None, None]
+    assert dict(df.dtypes)["v"] == "array<int>"
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(cast(" in plan and "sequence(0" not in plan
+
+
 def test_product(spark):
     rows = [("a", 3), ("a", -4), ("a", None), ("b", 0), ("b", 10**9), ("b", 10**18), ("c", None), (None, 1), (None, -1), ("d", 2)] + [("e", 2)] * 62 + [("f", 1)] * 1_000 + [("z", 0)] + [("z", 5)] * 100
     got = {r.k: r["product"] for r in R.product(spark.createDataFrame(rows, "k string, x long"), ["k"], "x").collect()}
