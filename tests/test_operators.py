@@ -201,6 +201,17 @@ def test_expand_makes_whole_numbers_by_a_sequence(spark):
     assert "sequence(cast(" in plan and "sequence(0" not in plan
 
 
+def test_collapse_copies_only_ended_intervals(spark):
+    """Growing an interval copies no list: neither the plan's step nor its result looks at the last element of a list; empty and null lists, nulls, open bounds."""
+    kind = "struct<low:int,high:int,lowClosed:boolean,highClosed:boolean>"
+    of = lambda *pairs: [None if p is None else (*p, True, True) for p in pairs]
+    cases = [(0, []), (1, None), (2, of(None)), (3, of((5, 9), None, (1, 4), (20, 30), (11, 12))), (4, of((1, None), (5, 9))), (5, of((None, 3), (9, 9))), (6, of((2147483647, 2147483647), (1, 2147483647)))]
+    df = spark.createDataFrame(cases, f"n int, xs array<{kind}>").select("n", I.collapse(F.col("xs")).alias("v"), I.collapse_per(F.filter("xs", lambda x: x["high"] < 1000), F.lit(2), "Integer").alias("per"))
+    got = {r.n: (r.v and [(x.low, x.high) for x in r.v], r.per and [(x.low, x.high) for x in r.per]) for r in df.collect()}
+    assert got == {0: ([], []), 1: (None, None), 2: ([], []), 3: ([(1, 9), (11, 12), (20, 30)], [(1, 12), (20, 30)]), 4: ([(1, None)], [(5, 9)]), 5: ([(None, 3), (9, 9)], [(None, 3), (9, 9)]), 6: ([(1, 2147483647)], [])}
+    assert "element_at" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_product(spark):
     rows = [("a", 3), ("a", -4), ("a", None), ("b", 0), ("b", 10**9), ("b", 10**18), ("c", None), (None, 1), (None, -1), ("d", 2)] + [("e", 2)] * 62 + [("f", 1)] * 1_000 + [("z", 0)] + [("z", 5)] * 100
     got = {r.k: r["product"] for r in R.product(spark.createDataFrame(rows, "k string, x long"), ["k"], "x").collect()}
